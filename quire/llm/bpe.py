@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import bounded_batches
+
 #: The pre-tokeniser's pattern (fixed values of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words are kept with their ids up to this many; then the store is emptied.
@@ -286,10 +288,12 @@ def decode_column(ids: Column, path: str) -> Column:
 
 def bpe_encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", count: str = "n_tokens") -> DataFrame:
     """df with the ids of ``text`` (binary) and their number (long)."""
+    bounded_batches(df.sparkSession)
     out = df.withColumn(ids, encode_column(F.col(text), path))
     return out.withColumn(count, (F.octet_length(ids) / 4).cast("long"))
 
 
 def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """df with the text that ``ids`` stand for."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(text, decode_column(F.col(ids), path))

@@ -43,6 +43,14 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """Keeps Arrow batches to about ``size`` bytes, unless the session has its own bound: texts
+    vary from nothing to megabytes, so a number of rows bounds no worker's memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(size))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
