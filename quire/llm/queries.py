@@ -33,6 +33,14 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.shard import shard_documents
+
+    out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
+    return out.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.fm_decon import decontaminate
 
@@ -43,6 +51,7 @@ def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op3_histogram_shards": op3_histogram_shards,
     "op9_fm_decon": op9_fm_decon,
 }
 
