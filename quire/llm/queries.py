@@ -7,7 +7,7 @@ import importlib.util
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import table
@@ -41,6 +41,20 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """Rows that no model may learn from."""
+    return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
+
+
+def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = score(docs, model)
+    return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.fm_decon import decontaminate
 
@@ -52,6 +66,7 @@ def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_histogram_shards": op3_histogram_shards,
+    "op5_subword_quality": op5_subword_quality,
     "op9_fm_decon": op9_fm_decon,
 }
 
