@@ -108,9 +108,9 @@ def sparse(text: pa.Array) -> list[tuple[bytes, bytes]]:
     return out
 
 
-def train(rows: list[tuple[bytes, bytes, int]], dim: int = 8, epochs: int = 12, rate: float = 40.0, batch: int = 32, seed: int = 1) -> Model:
-    """Stochastic gradient descent on softmax cross-entropy; the rate falls to zero in a line.
-    Both labels weigh alike in all."""
+def train(rows: list[tuple[bytes, bytes, int]], dim: int = 8, updates: int = 1200, rate: float = 40.0, batch: int = 32, seed: int = 1) -> Model:
+    """Stochastic gradient descent on softmax cross-entropy, in epochs of at least ``updates``
+    steps together; the rate falls to zero in a line. Both labels weigh alike in all."""
     random = np.random.default_rng(seed)
     vectors = random.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -123,7 +123,9 @@ def train(rows: list[tuple[bytes, bytes, int]], dim: int = 8, epochs: int = 12,
     importance = (0.5 / share[label]).astype(np.float32)
     index = [np.frombuffer(a, np.uint16).astype(np.intp) for a, _, _ in rows]
     value = [np.frombuffer(b, np.float32) for _, b, _ in rows]
-    steps, done = epochs * -(-len(rows) // batch), 0
+    each = -(-len(rows) // batch)
+    epochs = max(3, -(-updates // each))
+    steps, done = epochs * each, 0
     for _ in range(epochs):
         order = random.permutation(len(rows))
         for k in range(0, len(rows), batch):
