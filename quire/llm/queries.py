@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import table
+from quire.llm.common import scratch, table
 
 
 def tokenizer(name: str) -> str:
@@ -55,6 +55,16 @@ def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.secret_ledger import scan_secrets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scan_secrets(docs, scratch(spark, "secret-ledger"), run="all")
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{kind}')) AS BIGINT) AS n_{kind}") for kind in ("assign", "access", "hex")]
+    return out.select("doc_id", *count, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
 def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.fm_decon import decontaminate
 
@@ -67,12 +77,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_histogram_shards": op3_histogram_shards,
     "op5_subword_quality": op5_subword_quality,
+    "op7_secret_ledger": op7_secret_ledger,
     "op9_fm_decon": op9_fm_decon,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' AS kind, {k} AS r, {least} AS least, regexp_extract_all(t, '{p}') AS w, regexp_extract_all(t, '{p}', {group}) AS v, string_split_regex(t, '{p}') AS g FROM d"
+    for k, (kind, p, group, least) in enumerate([("assign", _ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)])
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_secret_ledger": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({_SECRETS}),
+u AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, r, length(w[i]) AS n,
+             list_sum([length(x) FOR x IN g[1:i]]) + coalesce(list_sum([length(x) FOR x IN w[1:i - 1]]), 0) AS a
+      FROM u WHERE length(v[i]) >= least),
+o AS (SELECT doc_id, string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(a + n AS BIGINT), ',' ORDER BY a, r) AS spans,
+             count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+             count(*) FILTER (kind = 'hex') AS n_hex FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN o USING (doc_id)""",
     "op9_fm_decon": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 i AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark),
