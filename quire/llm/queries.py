@@ -41,6 +41,18 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: The key of surrogates; a real run passes its own.
+SECRET = "quire surrogates"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.surrogates import replace_pii
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = replace_pii(docs, SECRET)
+    return out.select("doc_id", "text", F.size("entity_kinds").cast("long").alias("n_entities"), F.array_join("entity_kinds", ",").alias("entity_kinds"))
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows that no model may learn from."""
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 4 == 2, F.lit(False))
@@ -76,6 +88,7 @@ def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_histogram_shards": op3_histogram_shards,
+    "op4_surrogates": op4_surrogates,
     "op5_subword_quality": op5_subword_quality,
     "op7_secret_ledger": op7_secret_ledger,
     "op9_fm_decon": op9_fm_decon,
