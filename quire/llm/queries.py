@@ -85,6 +85,24 @@ def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.tiff import page_feature, read_pages, store_texts
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    stored = store_texts(docs).select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    page = read_pages(stored)
+    return page.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("data").cast("long").alias("payload_bytes"),
+        F.sha2("data", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(data, -16, 16)")).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        page_feature(F.col("data"), F.col("width"), F.col("height"), F.col("samples")).alias("feature"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_histogram_shards": op3_histogram_shards,
@@ -92,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_subword_quality": op5_subword_quality,
     "op7_secret_ledger": op7_secret_ledger,
     "op9_fm_decon": op9_fm_decon,
+    "op10_tiff_pages": op10_tiff_pages,
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
