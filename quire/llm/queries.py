@@ -77,6 +77,13 @@ def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *count, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
 
 
+def op8_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.text_density import extract_main_text
+
+    out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op9_fm_decon(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.fm_decon import decontaminate
 
@@ -109,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_surrogates": op4_surrogates,
     "op5_subword_quality": op5_subword_quality,
     "op7_secret_ledger": op7_secret_ledger,
+    "op8_text_density": op8_text_density,
     "op9_fm_decon": op9_fm_decon,
     "op10_tiff_pages": op10_tiff_pages,
 }
