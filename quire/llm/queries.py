@@ -33,6 +33,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_icws_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.icws import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.shard import shard_documents
 
@@ -128,6 +134,7 @@ def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_icws_dedup": op2_icws_dedup,
     "op3_histogram_shards": op3_histogram_shards,
     "op4_surrogates": op4_surrogates,
     "op5_subword_quality": op5_subword_quality,
