@@ -1,0 +1 @@
+"""Sections as Markdown, plain text, HTML, XML or CSV."""
