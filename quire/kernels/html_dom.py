@@ -405,8 +405,8 @@ def attributes(raw: str) -> dict[str, str]:
 def parse(page: str) -> Document:
     """The document of a page; whatever the bytes, there is one."""
     b = Builder()
-    at, page = 0, page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "�")
-    if page.startswith("﻿"):
+    at, page = 0, page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "\ufffd")
+    if page.startswith("\ufeff"):
         at = 1
     while True:
         m = _TAG.search(page, at)

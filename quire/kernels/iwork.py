@@ -14,8 +14,8 @@ from quire.kernels.package import Package, basename
 from quire.kernels.rtf import emphasized
 from quire.kernels.snappy import Malformed, unpack_stream
 
-_LINES = re.compile("\r\n|[\r  \x0b\x0c]")
-_DROPPED = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f￼]")
+_LINES = re.compile("\r\n|[\r\u2028\u2029\x0b\x0c]")
+_DROPPED = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffc]")
 PLACEHOLDER, PARAGRAPH_ENDS = 0xFFFC, frozenset((0x0A, 0x0D, 0x2029))
 DOCUMENT, INDEX = "Document.iwa", "Index.zip"
 #: Fields of a storage that hold runs: styles, attachments, smart fields.

@@ -15,8 +15,8 @@ from quire.kernels.model import BLANK, escape_cell, pipe_table
 INLINE_LIST, RICH_LIST = 1, 8
 CELL_VERSION, NUMBER, INLINE, DATE, RICH, FORMULA = 5, 0x02, 0x03, 0x05, 0x09, 0x0A
 ABSENT = 0xFFFF
-_FOLDED = re.compile("\r\n|[\r\n  \x0b\x0c]")
-_DROPPED = re.compile("[\x00-\x08\x0a-\x1f\x7f-\x9f￼]")
+_FOLDED = re.compile("\r\n|[\r\n\u2028\u2029\x0b\x0c]")
+_DROPPED = re.compile("[\x00-\x08\x0a-\x1f\x7f-\x9f\ufffc]")
 #: How far a slide's and an attachment's tables may be from it.
 SLIDE_STEPS, ATTACHMENT_STEPS = 12, 5
 

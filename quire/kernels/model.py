@@ -24,8 +24,8 @@ KINDS = "body heading paragraph table list code image sheet slide chapter metada
 #: A member of an archive may unpack to this many bytes.
 LARGEST_MEMBER = 512 << 20
 #: White space that trimming removes, without and with line ends.
-BLANK = " \t               　"
-BLANK_LINES = BLANK + "\n\r\x0b\x0c\x85  "
+BLANK = " \t\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+BLANK_LINES = BLANK + "\n\r\x0b\x0c\u0085\u2028\u2029"
 
 
 class ConvertError(Exception):

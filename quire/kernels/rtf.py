@@ -12,7 +12,7 @@ IGNORED = frozenset(
     "fonttbl colortbl stylesheet info pict header footer headerl headerr headerf footerl footerr footerf footnote object themedata "
     "colorschememapping latentstyles datastore generator xmlnstbl listtable listoverridetable revtbl rsidtbl".split()
 )
-TEXT = {"line": "  \n", "tab": "\t", "cell": "\t", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "emspace": " ", "enspace": " ", "qmspace": " "}
+TEXT = {"line": "  \n", "tab": "\t", "cell": "\t", "emdash": "\u2014", "endash": "\u2013", "bullet": "\u2022", "lquote": "\u2018", "rquote": "\u2019", "ldblquote": "\u201c", "rdblquote": "\u201d", "emspace": " ", "enspace": " ", "qmspace": " "}
 BREAKS = frozenset("par row sect page".split())
 CODE_PAGES = {932: "cp932", 936: "gbk", 949: "cp949", 950: "cp950", 1361: "johab", 10000: "mac_roman", 65001: "utf-8", 20127: "ascii", 28591: "latin-1", 28592: "iso8859-2", 20866: "koi8-r"}
 DOUBLE_BYTE = frozenset({932, 936, 949, 950, 1361})
@@ -159,7 +159,7 @@ class Reader:
         if sign in ("\\", "{", "}"):
             self.put(sign)
         elif sign == "~":
-            self.put(" ")
+            self.put("\u00a0")
         elif sign == "_":
             self.put("-")
         elif sign == "*":

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 #: Code spans and links are held out of the text by these private-use characters.
-CODE, CODE_END, LINK, LINK_END = "", "", "", ""
+CODE, CODE_END, LINK, LINK_END = "\ue000", "\ue001", "\ue002", "\ue003"
 _CODE = re.compile(r"`([^`]*)`")
 _LINK = re.compile(r"(!)?\[([^\]]*)\]\((?:<([^>]+)>|([^)]+))\)")
 EMPHASIS = tuple((re.compile(p), tags) for p, tags in ((r"\*\*\*(.+?)\*\*\*", ("strong", "em")), (r"\*\*(.+?)\*\*", ("strong",)), (r"\*(.+?)\*", ("em",))))
