@@ -61,13 +61,13 @@ def csv_field(c: Column, edges: bool = True) -> Column:
 
 def csv_text(rows: Column) -> Column:
     """Rows of fields (array of arrays) as CSV."""
-    return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, csv_field), ",")), "\n")
+    return F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, lambda v: csv_field(v)), ",")), "\n")
 
 
 def pipe_table(rows: Column) -> Column:
     """A Markdown table of raw cells (array of arrays); the first row is the header."""
     width = F.array_max(F.transform(rows, lambda r: F.size(r)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, flat_cell), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(r, lambda v: flat_cell(v)), F.array_repeat(F.lit(""), width - F.size(r))), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     lines = F.transform(rows, line)
     return F.when(F.coalesce(width, F.lit(0)) == 0, "").otherwise(F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))), "\n"))

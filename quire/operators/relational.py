@@ -53,7 +53,7 @@ def reachable(edges: DataFrame, roots: DataFrame, steps: int) -> DataFrame:
 def number_notes(references: DataFrame, doc: str = "doc_key") -> DataFrame:
     """(doc, id, number) by first reference, from references (doc, id, position)."""
     first = references.groupBy(doc, "id").agg(F.min("position").alias("position"))
-    return first.withColumn("number", F.row_number().over(Window.partitionBy(doc).orderBy("position"))).drop("position")
+    return first.withColumn("number", F.row_number().over(Window.partitionBy(doc).orderBy("position", "id"))).drop("position")
 
 
 def unique_names(images: DataFrame, doc: str = "doc_key") -> DataFrame:
@@ -73,3 +73,11 @@ def majority_style(paragraphs: DataFrame, runs: DataFrame, by: str = "doc_key")
     best = both.groupBy(by, "p_start", "p_end").agg(F.max_by("style", F.struct(part, -F.col("r_start"))).alias("style"))
     out = p.join(best, [by, "p_start", "p_end"], "left")
     return out.withColumnsRenamed({"p_start": "start", "p_end": "end"})
+
+
+def reading_order(boxes: DataFrame, by: str, height: float = 0.012) -> DataFrame:
+    """(by, text): recognised lines (text, x, y of the lower left corner, n) from top to bottom
+    in rows of a height, then from left to right, joined by line ends."""
+    order = F.struct((-F.floor(F.col("y") / height)).alias("row"), "x", "n", "text")
+    lines = F.array_sort(F.collect_list(F.when(F.trim("text") != "", order)))
+    return boxes.groupBy(by).agg(F.array_join(F.transform(lines, lambda b: b["text"]), "\n").alias("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions.text import escape_html
 from quire.kernels.model import Result, Section
 from quire.operators.convert import markdown_of, safe, section_texts
-from quire.render.formats import FORMATS, render as render_one
+from quire.rendering.formats import FORMATS, render as render_one
 
 
 def xml_of(title: Column, author: Column, sections: Column) -> Column:

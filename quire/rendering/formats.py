@@ -6,9 +6,9 @@ from collections import Counter
 
 from quire.kernels.model import BLANK, BLANK_LINES, UNABLE_TO_EXPORT, ConvertError, Result, Section
 from quire.kernels.package import basename
-from quire.render.blocks import Block, parse_blocks, table_run
-from quire.render.inline import escape_html, inline_html, inline_plain
-from quire.render.notes import number_notes, numbered, split_notes
+from quire.rendering.blocks import Block, parse_blocks, table_run
+from quire.rendering.inline import escape_html, inline_html, inline_plain
+from quire.rendering.notes import number_notes, numbered, split_notes
 
 FORMATS = ("plaintext", "html", "xml", "markdown", "csv")
 

@@ -6,8 +6,8 @@ import re
 from dataclasses import dataclass
 
 from quire.kernels.model import BLANK, BLANK_LINES
-from quire.render.blocks import Block
-from quire.render.inline import references
+from quire.rendering.blocks import Block
+from quire.rendering.inline import references
 
 _DEFINITION = re.compile(r" {0,3}\[\^([^\]]+)\]: ?(.*)", re.S)
 
