@@ -256,5 +256,5 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """df with one row of each group of near duplicates, that of the least id."""
-    drop = near_duplicates(df, text, key, threshold).where("not kept").select(F.col(key).alias("_drop"))
-    return df.join(settled(drop), df[key] == F.col("_drop"), "left_anti")
+    drop = near_duplicates(df, text, key, threshold).where("not kept").select(F.col(key).alias("__quire_drop"))
+    return df.join(settled(drop), df[key] == F.col("__quire_drop"), "left_anti")

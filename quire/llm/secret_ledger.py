@@ -87,10 +87,10 @@ def scan_secrets(df: DataFrame, ledger: str, run: str, text: str = "text", key:
     spark = df.sparkSession
     rows = df.withColumn("blob_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     held = settled(rows.select(*(c for c in rows.columns if c not in (text, "spans"))))
-    name = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_one")
-    unseen = held.select("blob_id", name).groupBy("blob_id").agg(F.min("_one").alias("_one")).join(read_ledger(spark, ledger, version), "blob_id", "left_anti")
-    blobs = rows.select("blob_id", name, F.col(text).alias("_text")).join(settled(unseen).hint("shuffle_hash"), ["blob_id", "_one"], "left_semi")
-    found = blobs.select("blob_id", spans_of(F.coalesce("_text", F.lit("")), rules).alias("spans"))
+    name = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__quire_one")
+    unseen = held.select("blob_id", name).groupBy("blob_id").agg(F.min("__quire_one").alias("__quire_one")).join(read_ledger(spark, ledger, version), "blob_id", "left_anti")
+    blobs = rows.select("blob_id", name, F.col(text).alias("__quire_text")).join(settled(unseen).hint("shuffle_hash"), ["blob_id", "__quire_one"], "left_semi")
+    found = blobs.select("blob_id", spans_of(F.coalesce("__quire_text", F.lit("")), rules).alias("spans"))
     found.dropDuplicates(["blob_id"]).write.mode("overwrite").parquet(f"{ledger}/rule_version={version}/run={run}")
     findings = read_ledger(spark, ledger, version).where(F.size("spans") > 0)
     out = held.join(findings, "blob_id", "left")

@@ -128,8 +128,8 @@ def shard_documents(df: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     order). Only keys and sizes are kept for counting; whole rows move in the one exchange."""
     spark = df.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumns({"size": F.octet_length(value).cast("long") + 1, "_a": F.xxhash64(value), "_b": F.xxhash64(F.lit(1), F.col(key))})
-    keyed = settled(df.select("_a", "_b", "size"))
+    df = df.withColumns({"size": F.octet_length(value).cast("long") + 1, "__quire_a": F.xxhash64(value), "__quire_b": F.xxhash64(F.lit(1), F.col(key))})
+    keyed = settled(df.select("__quire_a", "__quire_b", "size"))
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     parts = shards * max(1, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
     cuts, _ = splitters(keyed, total, parts, shards, tolerance) if total else ([], 0)
@@ -145,9 +145,9 @@ def shard_documents(df: DataFrame, shards: int = 8, key: str = "doc_id", text: s
         at = places(a.to_numpy(zero_copy_only=False), b.to_numpy(zero_copy_only=False), shared.value)
         return pa.array(at.astype(np.int32))
 
-    offsets = spark.createDataFrame([(k, b) for k, b in enumerate(base)], "_part int, _base long")
+    offsets = spark.createDataFrame([(k, b) for k, b in enumerate(base)], "__quire_part int, __quire_base long")
     # A row a range: as many as the session has shuffle partitions, times four.
-    placed = df.withColumn("_part", part("_a", "_b")).join(F.broadcast(offsets), "_part")
-    order = Window.partitionBy("_part").orderBy("_a", "_b", key)
-    placed = placed.withColumn("slot", F.col("_base") + F.row_number().over(order) - 1)
-    return placed.withColumn("shard", F.floor(F.col("_part") / step).cast("int")).drop("_a", "_b", "_part", "_base")
+    placed = df.withColumn("__quire_part", part("__quire_a", "__quire_b")).join(F.broadcast(offsets), "__quire_part")
+    order = Window.partitionBy("__quire_part").orderBy("__quire_a", "__quire_b", key)
+    placed = placed.withColumn("slot", F.col("__quire_base") + F.row_number().over(order) - 1)
+    return placed.withColumn("shard", F.floor(F.col("__quire_part") / step).cast("int")).drop("__quire_a", "__quire_b", "__quire_part", "__quire_base")

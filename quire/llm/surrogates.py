@@ -35,10 +35,10 @@ _NAME = r"\p{Lu}[\p{L}]+(?:-\p{Lu}\p{L}+)?"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9])[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,63})@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9.-])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?(?![0-9])|(?<![0-9.-])[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
+    "card": r"(?<![0-9-])(?<![0-9]\.)(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?(?![0-9])|(?<![0-9-])(?<![0-9]\.)[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "ip": r"(?<![0-9A-Za-z.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
+    "ip": r"(?<![0-9A-Za-z])(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: {_NAME}){{0,2}}",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -254,14 +254,14 @@ def replace_pii(df: DataFrame, secret: str, text: str = "text", key: str = "doc_
     own = df.select(F.explode(F.flatten(F.transform(mentions(F.col(text)), atoms))).alias("a"))
     entities = settled(own.select("a.*").groupBy("kind", "norm").agg(F.min("form").alias("form")))
     again = redraws(entities, secret)
-    rows = df.select(*names).withColumn("_m", mentions(F.col(text)))
+    rows = df.select(*names).withColumn("__quire_m", mentions(F.col(text)))
     if again is not None:
         # Documents that hold a redrawn entity get a map of attempts, by document.
-        held = df.select(F.col(key).alias("_k"), F.explode(F.flatten(F.transform(mentions(F.col(text)), atoms))).alias("a")).select("_k", "a.kind", "a.norm").distinct()
-        maps = held.join(again, ["kind", "norm"]).groupBy("_k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), "attempt"))).alias("_again"))
-        rows = rows.join(settled(maps), rows[key].eqNullSafe(F.col("_k")), "left").drop("_k")
-    fresh = F.transform("_m", lambda m: replaced(m, secret, F.col("_again") if again is not None else None))
+        held = df.select(F.col(key).alias("__quire_k"), F.explode(F.flatten(F.transform(mentions(F.col(text)), atoms))).alias("a")).select("__quire_k", "a.kind", "a.norm").distinct()
+        maps = held.join(again, ["kind", "norm"]).groupBy("__quire_k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), "attempt"))).alias("__quire_again"))
+        rows = rows.join(settled(maps), rows[key].eqNullSafe(F.col("__quire_k")), "left").drop("__quire_k")
+    fresh = F.transform("__quire_m", lambda m: replaced(m, secret, F.col("__quire_again") if again is not None else None))
     pieces = F.split(F.col(text), UNION, -1)
     joined = F.array_join(F.zip_with(pieces, fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    rows = rows.withColumn(text, F.when(F.size("_m") > 0, joined).otherwise(F.col(text)))
-    return rows.withColumn("entity_kinds", F.transform("_m", lambda m: m["kind"])).select(*names, "entity_kinds")
+    rows = rows.withColumn(text, F.when(F.size("__quire_m") > 0, joined).otherwise(F.col(text)))
+    return rows.withColumn("entity_kinds", F.transform("__quire_m", lambda m: m["kind"])).select(*names, "entity_kinds")
