@@ -1,10 +1,9 @@
 """Secret scans with an incremental blob ledger, in DataFrame operations only.
 
 Every version of a text is a blob, addressed by the SHA-256 of its bytes. The ledger is a
-table of (blob_id, rule_version, spans); a run scans the blobs that the ledger lacks at the
-present rule version, one row for each blob, appends them, and joins the findings back to all
-rows that hold a blob. The ledger is partitioned by rule version, and a run writes under its
-own name, so a retried run appends nothing twice.
+table of (blob_id, rule_version, spans); a run scans the blobs that other runs' parts lack at
+the present rule version, one row for each blob, adds them, and joins the findings back to all
+rows that hold a blob. The ledger is partitioned by rule version and run.
 
 A pattern's matches and the pieces between them come from two passes of the same regular
 expression; their lengths give starts and ends in code points, so no position is searched for.
@@ -71,24 +70,26 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_sort(F.concat(*(rule_spans(text, r, k) for k, r in enumerate(rules))))
 
 
-def read_ledger(spark: SparkSession, path: str, version: str) -> DataFrame:
-    """The blobs that are scanned at a rule version, each once."""
+def read_ledger(spark: SparkSession, path: str, version: str, without: str | None = None) -> DataFrame:
+    """The blobs that are scanned at a rule version, each once; ``without`` leaves out a run."""
     at = f"{path}/rule_version={version}"
     where = spark._jvm.org.apache.hadoop.fs.Path(at)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], LEDGER)
-    return spark.read.option("recursiveFileLookup", "true").schema(LEDGER).parquet(at)
+    found = spark.read.option("basePath", at).schema(f"{LEDGER}, run string").parquet(at)
+    return found.where(F.col("run") != without if without else F.lit(True)).drop("run").dropDuplicates(["blob_id"])
 
 
 def scan_secrets(df: DataFrame, ledger: str, run: str, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """df with blob_id and spans (array of start, rank, kind, end), without text.
 
-    ``run`` names this run's part of the ledger; the same name again overwrites it."""
+    ``run`` names this run's part of the ledger; the same name again replaces that part, so
+    that a run can be repeated after a failure."""
     spark = df.sparkSession
     rows = df.withColumn("blob_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
     held = settled(rows.select(*(c for c in rows.columns if c not in (text, "spans"))))
     name = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__quire_one")
-    unseen = held.select("blob_id", name).groupBy("blob_id").agg(F.min("__quire_one").alias("__quire_one")).join(read_ledger(spark, ledger, version), "blob_id", "left_anti")
+    unseen = held.select("blob_id", name).groupBy("blob_id").agg(F.min("__quire_one").alias("__quire_one")).join(read_ledger(spark, ledger, version, without=run), "blob_id", "left_anti")
     blobs = rows.select("blob_id", name, F.col(text).alias("__quire_text")).join(settled(unseen).hint("shuffle_hash"), ["blob_id", "__quire_one"], "left_semi")
     found = blobs.select("blob_id", spans_of(F.coalesce("__quire_text", F.lit("")), rules).alias("spans"))
     found.dropDuplicates(["blob_id"]).write.mode("overwrite").parquet(f"{ledger}/rule_version={version}/run={run}")

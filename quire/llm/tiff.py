@@ -204,7 +204,7 @@ class Page:
     compression: int
     predictor: int
     tiled: bool
-    data: bytes  # rows of pixels, samples together
+    data: bytes  # rows of pixels, samples together, little-endian
 
 
 def fields_of(raw: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
@@ -282,6 +282,8 @@ def page_of(raw: bytes, f: dict[int, tuple], order: str) -> Page:
         data = np.stack([p.reshape(height, width, bits // 8) for p in out], 2).tobytes()
     else:
         raise TiffError("planes of less than 8 bits")
+    if bits > 8 and order == ">":
+        data = np.frombuffer(data, kind).astype(kind.newbyteorder("<")).tobytes()
     return Page(width, height, samples, bits, compression, predictor, tiled, data)
 
 

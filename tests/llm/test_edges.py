@@ -43,12 +43,13 @@ def tokenizer():
 
 
 def test_bpe(docs, tokenizer):
-    from quire.llm.bpe import bpe_decode, bpe_encode
+    from quire.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip
 
     path = tokenizer("byte_bpe_50k.json")
     rows = bpe_decode(bpe_encode(docs, path), path).collect()
     assert len(rows) == count(docs)
     assert all(r.decoded == (r.text or "") and r.n_tokens == len(r.ids) // 4 for r in rows)
+    assert sorted((bytes(r.ids), r.decoded) for r in bpe_round_trip(docs, path).collect()) == sorted((bytes(r.ids), r.decoded) for r in rows)
 
 
 def test_near_dedup(docs):
