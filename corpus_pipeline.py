@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.bpe import bpe_decode, bpe_encode
+from quire.llm.bpe import bpe_round_trip
 from quire.llm.common import scratch, table
 from quire.llm.fm_decon import decontaminate
 from quire.llm.icws import deduplicate
@@ -39,8 +39,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as token ids, with digests of the ids and of what they decode to."""
-    path = tokenizer("byte_bpe_50k.json")
-    out = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    out = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "lang", "source", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

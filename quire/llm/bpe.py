@@ -28,7 +28,7 @@ from quire.llm.common import bounded_batches
 #: The pre-tokeniser's pattern (fixed values of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words are kept with their ids up to this many; then the store is emptied.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Long texts are cut before white space into pieces of about this many characters.
 PIECE = 1 << 15
 #: Words of more symbols have a tree of their own.
@@ -297,3 +297,21 @@ def bpe_decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     """df with the text that ``ids`` stand for."""
     bounded_batches(df.sparkSession)
     return df.withColumn(text, decode_column(F.col(ids), path))
+
+
+def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
+    """df with the ids of ``text``, their number, and the text that they decode to. Both are
+    made in one worker, which then holds the only copy of the vocabulary and the word store."""
+    bounded_batches(df.sparkSession)
+
+    @F.arrow_udf("struct<ids:binary,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        coder = encoder(path)
+        for batch in batches:
+            found = coder.encode(batch.to_pylist())
+            back = pa.array([coder.decode(x) for x in found], pa.string())
+            yield pa.StructArray.from_arrays([pa.array(found, pa.binary()), back], names=["ids", "decoded"])
+
+    out = df.withColumn("__quire_both", both(F.col(text)))
+    out = out.withColumn(ids, F.col("__quire_both.ids")).withColumn(decoded, F.col("__quire_both.decoded")).drop("__quire_both")
+    return out.withColumn(count, (F.octet_length(ids) / 4).cast("long"))

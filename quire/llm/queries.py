@@ -25,11 +25,10 @@ def tokenizer(name: str) -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.llm.bpe import bpe_decode, bpe_encode
+    from quire.llm.bpe import bpe_round_trip
 
-    path = tokenizer("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = bpe_decode(bpe_encode(docs, path), path)
+    out = bpe_round_trip(docs, tokenizer("byte_bpe_50k.json"))
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
