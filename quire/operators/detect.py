@@ -78,8 +78,8 @@ def with_hints(df: DataFrame) -> DataFrame:
             df = df.withColumn(h, F.lit(None).cast("string"))
     mime = base_mime(F.col("mime_type"))
     mime = F.when(~mime.isin(*GENERIC), mime)
-    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), "/+$", "")
-    name = F.coalesce(F.nullif("filename", F.lit("")), F.nullif(F.regexp_extract(path, r"^(?:[^:/]+://[^/]+/|/?)(?:.*/)?([^/]+)$", 1), F.lit("")))
+    path = F.regexp_replace(F.regexp_replace("url", r"[?#].*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]*", "")
+    name = F.coalesce(F.nullif("filename", F.lit("")), F.nullif(F.regexp_extract(path, "([^/]+)/*$", 1), F.lit("")))
     df = df.withColumn("file_extension", file_extension(F.col("filename"), F.col("url"))).withColumn("filename", name)
     df = df.withColumn("type_family", F.coalesce(family(mime, MIMES), family(F.col("file_extension"), EXTENSIONS)))
     return df.withColumn("charset", F.coalesce(charset_name(F.col("charset")), mime_charset(F.col("mime_type"))))
