@@ -152,7 +152,17 @@ _SECRETS = " UNION ALL ".join(
     for k, (kind, p, group, least) in enumerate([("assign", _ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)])
 )
 
+_UNESCAPED = "s"
+for _name, _char in [("quot", "'\"'"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")]:
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', {_char})"
+
 ORACLE_SQL: dict[str, str] = {
+    # These pages hold their text in one article of headings and paragraphs.
+    "op8_text_density": f"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)(</article>|<footer>|$)', 1, 's') AS t FROM pages),
+b AS (SELECT page_id, url, [trim(regexp_replace({_UNESCAPED}, '\\s+', ' ', 'g')) FOR s IN [regexp_replace(x, '<[^>]*>', ' ', 'g') FOR x IN string_split_regex(t, '</?(p|h1)>')]] AS parts FROM a)
+SELECT page_id, url, array_to_string([x FOR x IN parts IF x <> ''], chr(10) || chr(10)) AS text,
+       CAST(length(array_to_string([x FOR x IN parts IF x <> ''], chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b""",
     "op7_secret_ledger": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 m AS ({_SECRETS}),
