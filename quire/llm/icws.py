@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches, mixed, run_hashes, runs, settled, texts_to_bytes
+from quire.llm.common import bounded_batches, mixed, remove, run_hashes, runs, scratch, settled, texts_to_bytes
 from quire.llm.components import components
 
 WORDS = 5
@@ -213,7 +213,14 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.cast("byte").alias("band"), F.substring(F.col("bands"), (k * 8 + 1).cast("int"), F.lit(8)).alias("bucket"))))
     members = settled(texts.select("rep", place.alias("p")).select("rep", "p.band", "p.bucket"))
 
+    # Only texts that share a bucket with another one can be in a pair: these are kept apart,
+    # so that the rounds below don't shuffle the whole table.
+    shared_buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket")
+    paired = settled(members.join(settled(shared_buckets), ["band", "bucket"], "left_semi"))
+    texts_at = scratch(spark, "paired-texts")
     whole = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), t.alias("text"))
+    whole.join(paired.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").write.parquet(texts_at)
+    whole = spark.read.parquet(texts_at)
 
     @F.arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -229,7 +236,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     def pair(end: str) -> DataFrame:
         return placed.where(F.col("rep") != F.col(end)).select(F.least("rep", end).alias("a"), F.greatest("rep", end).alias("b"))
 
-    links, tried, left = None, None, members.withColumn("witness", F.lit(None).cast(members.schema["rep"].dataType))
+    links, tried, left = None, None, paired.withColumn("witness", F.lit(None).cast(members.schema["rep"].dataType))
     for k in range(ROUNDS):
         order = F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("r"))
         ends = left.groupBy("band", "bucket").agg(F.min(order)["r"].alias("centre"), F.max(order)["r"].alias("last"), F.count(F.lit(1)).alias("n"))
@@ -245,6 +252,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         left = settled(failed.join(links.distinct(), ["a", "b"], "left_anti").select("rep", "band", "bucket", F.col("last").alias("witness")))
         if left.isEmpty():
             break
+    remove(spark, texts_at)
     group = components(links).withColumnsRenamed({"node": "rep", "component": "group_id"})
     named = settled(texts.select("hash", "rep").join(group, "rep", "left").select("hash", F.col("rep").alias("copy_of"), F.coalesce("group_id", "rep").alias("group_id")))
     out = signed.select("id", "hash", F.col("bands").isNotNull().alias("worded")).join(named, "hash", "left")

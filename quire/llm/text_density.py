@@ -57,6 +57,8 @@ UNLIKE = re.compile(
     r"share|sharing|social|related|recommended|newsletter|subscribe|subscription|signup|login|search|form|toolbar|pagination|pager|copyright|legal|widget\w*|skip|outbrain|taboola)(?:$|[\s_-])",
     re.I,
 )
+#: Names of a page's head, outside of an article.
+UNLIKE_TOP = re.compile(r"(?:^|\s)(?:header|site-?header|top-?bar|top-?header)(?:$|\s)", re.I)
 UNLIKE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 TOKEN = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([a-zA-Z][^\s/>]*)([^>]*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -78,10 +80,10 @@ def unlike(tag: str, attributes: str, within_article: bool) -> bool:
     """Whether an element can't hold article text."""
     if tag in ASIDE or tag == "header" and not within_article:
         return True
-    if attributes and tag not in ("body", "html", "article", "main"):
+    if attributes and (within_article or tag not in ("body", "html", "article", "main")):
         for m in NAMES.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id") and UNLIKE.search(value) or name == "role" and value.lower() in UNLIKE_ROLE:
+            if name in ("class", "id") and (UNLIKE.search(value) or not within_article and UNLIKE_TOP.search(value)) or name == "role" and value.lower() in UNLIKE_ROLE:
                 return True
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
                 return True

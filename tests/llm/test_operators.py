@@ -324,6 +324,8 @@ def test_main_text_of_layouts():
     noise = '<nav><a href=1>Home</a><a href=2>News</a></nav><div class="cookie-notice">We use cookies to make this site work for you and us.</div>'
     after = '<div id="comments"><p>I like this very much indeed, thanks for writing it all down!</p></div><aside>Related: more stories</aside><form>Name <input></form><footer>&copy; us</footer><script>var a="<p>";</script>'
     assert main_text(f"<html><body><header>Site</header>{noise}<article>{body}</article>{after}") == want
+    replies = '<section><h2 class="comments-title">2 comments</h2><article class="comment"><p>Nested reader comment, long enough to look like a paragraph of text.</p></article></section>'
+    assert main_text(f'<body><div class="site-header"><p>The daily page with a rather long slogan</p></div><main>{body}{replies}</main>{after}') == want
     assert main_text(f"<body><div class=top><a href=a>Menu</a></div>{noise}<div><div class=story>{body}</div></div>{after}</body>") == want
     assert main_text(None) == main_text("") == main_text("<nav><a>x</a></nav>") == ""
     assert main_text("just text") == "just text"
