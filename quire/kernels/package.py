@@ -11,8 +11,6 @@ from xml.parsers import expat
 
 from quire.kernels.model import FILE_CORRUPTED, LARGEST_MEMBER, ConvertError
 
-Node = "XmlNode"
-
 
 class XmlNode:
     """An element with its prefixed name; children in order, text among them."""

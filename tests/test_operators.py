@@ -8,7 +8,7 @@ import pytest
 import quire
 from quire import fixtures as fx
 from quire.functions.unicode import sanitize, sanitize_text
-from quire.kernels.model import ConvertError, NotAccepted, Result, Section
+from quire.kernels.model import ConvertError, Info, NotAccepted, Result, Section
 
 INPUT = "doc_key string, filename string, mime_type string, url string, content binary"
 
@@ -99,7 +99,7 @@ def test_registry_order_and_fall_through(spark):
     ties = quire.Registry().registering(quire.Converter(frozenset({"x"}), shout)).registering(quire.Converter(frozenset({"x"}), refuse))
     assert [c.kernel for c in ties.converters] == [shout, refuse]
     with pytest.raises(ConvertError):
-        quire.Registry().convert(b"", quire.default_registry and __import__("quire.kernels.model", fromlist=["Info"]).Info())
+        quire.Registry().convert(b"", Info())
 
 
 CLEAN = [
