@@ -5,6 +5,8 @@ one module doesn't load them all."""
 from importlib import import_module
 
 _HOME = {
+    "quire.functions.documents": ("csv_rows", "html_markdown", "readable", "register"),
+    "quire.functions.unicode": ("sanitize",),
     "quire.operators.convert": ("convert", "markdown_of", "sections_of"),
     "quire.operators.detect": ("classify",),
     "quire.operators.registry": ("Converter", "Registry", "default_registry"),

@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -68,6 +68,14 @@ def safe(value: object) -> object:
     return {k: safe(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
+def bounded_batches(spark: SparkSession, size: int = BATCH) -> None:
+    """Keeps Arrow batches to about ``size`` bytes, unless the session has a bound of its own: a
+    number of rows bounds no worker's memory where documents are of any size."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(size))
+
+
 def convert(df: DataFrame, registry: Registry | None = None, enhance_readability: bool = True, enable_ocr: bool = True, sanitize_unicode: bool = False, largest: int = LARGEST_FILE) -> DataFrame:
     """df (doc_key, content, hints) without content, with detection's and conversion's columns:
     title, author, cover, sections, status, error_code, error_message.
@@ -75,6 +83,7 @@ def convert(df: DataFrame, registry: Registry | None = None, enhance_readability
     Bytes of formats that no converter takes, and of files above ``largest``, stay out of
     Python. Columns of df with an output's name are replaced."""
     registry = registry or default_registry()
+    bounded_batches(df.sparkSession)
     found = classify(df.drop("file_extension", "detected_format", "confidence", *CONVERTED.names))
     big = F.coalesce(F.octet_length("content") > largest, F.lit(False))
     takes = F.col("detected_format").isin(registry.formats()) & ~big

@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 import quire
 from quire import fixtures
 from quire.functions import text as X
-from quire.functions.unicode import sanitize
-from quire.kernels.delimited import parse_csv
 from quire.kernels.ocr import ROW_HEIGHT
 from quire.operators import relational
 
@@ -106,7 +104,7 @@ _INJECTED = "'e' || chr(769) || replace(replace(text, ' ', chr(160)), chr(10), c
 def sanitize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.replace(F.replace("text", F.lit(" "), F.lit(" ")), F.lit("\n"), F.lit("\r\n"))
     t = F.concat(F.lit("é"), t, F.lit("​\u0007﻿ x"))
-    return table(spark, sf_dir, "documents").select("doc_id", sanitize(t).alias("clean"), F.char_length(t).cast("long").alias("n_before"))
+    return table(spark, sf_dir, "documents").select("doc_id", quire.sanitize(t).alias("clean"), F.char_length(t).cast("long").alias("n_before"))
 
 
 @query(r"SELECT doc_id, replace(replace(replace(text, 'e', '\|'), '\', '\\'), '|', '\|') AS escaped, replace(text, 'e', '\|') AS back FROM documents")
@@ -173,11 +171,7 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.array(F.col("c_custkey").cast("string"), F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')), F.concat(F.lit(" "), "c_mktsegment", F.lit("\n")))
     texts = c.groupBy(F.floor(F.col("c_custkey") / 500).alias("block")).agg(F.collect_list(row).alias("rows")).select(X.csv_text(F.col("rows")).alias("csv"))
 
-    @F.arrow_udf("array<array<string>>")
-    def parsed(column: pa.Array) -> pa.Array:
-        return pa.array([parse_csv(t) for t in column.to_pylist()], pa.list_(pa.list_(pa.string())))
-
-    return texts.select(F.explode(parsed("csv")).alias("r")).select(F.col("r")[0].alias("k"), F.col("r")[1].alias("name"), F.col("r")[2].alias("segment"))
+    return texts.select(F.explode(quire.csv_rows(F.col("csv"))).alias("r")).select(F.col("r")[0].alias("k"), F.col("r")[1].alias("name"), F.col("r")[2].alias("segment"))
 
 
 @query("""SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '"' || n_name || ', ""x"" "' ELSE n_name END AS field, CASE WHEN n_nationkey % 2 = 0 THEN '"' || n_name || ', ""x"" "' ELSE n_name END AS plain,
@@ -340,14 +334,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"""SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""")
 def html_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.kernels.reader import readable
-
-    @F.arrow_udf("struct<title:string,lang:string>")
-    def meta(column: pa.Array) -> pa.Array:
-        found = [readable(h) for h in column.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r.title for r in found], pa.string()), pa.array([r.lang for r in found], pa.string())], names=["title", "lang"])
-
-    return table(spark, sf_dir, "pages").withColumn("m", meta("html")).select("page_id", "m.title", "m.lang")
+    return table(spark, sf_dir, "pages").withColumn("r", quire.readable(F.col("html"))).select("page_id", "r.title", "r.lang")
 
 
 @query(r"""SELECT page_id, CAST(1.0 AS DOUBLE) AS density, len(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a ')) AS links FROM pages""")
@@ -382,14 +369,8 @@ def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.kernels.reader import readable
-
-    @F.arrow_udf("struct<title:string,length:bigint,text:string>")
-    def read(column: pa.Array) -> pa.Array:
-        found = [readable(h) for h in column.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array([r.title for r in found], pa.string()), pa.array([r.length for r in found], pa.int64()), pa.array([r.text_content for r in found], pa.string())], names=["title", "length", "text"])
-
-    return table(spark, sf_dir, "pages").withColumn("r", read("html")).select("page_id", "r.title", "r.length", "r.text")
+    r = table(spark, sf_dir, "pages").withColumn("r", quire.readable(F.col("html")))
+    return r.select("page_id", "r.title", "r.length", F.col("r.text_content").alias("text"))
 
 
 # --- states and relations -------------------------------------------------------------------
@@ -456,3 +437,18 @@ def unique_image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ocr_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linenumber").alias("text"), F.col("l_extendedprice").alias("x"), (F.col("l_quantity") / 50).alias("y"), F.col("l_linenumber").alias("n"))
     return relational.reading_order(boxes, "l_orderkey")
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS n, CAST(sum(l_quantity) OVER w - l_quantity AS BIGINT) AS a, CAST(sum(l_quantity) OVER w AS BIGINT) AS b, l_shipdate FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)),
+o AS (SELECT k, a, least(b, 60) - greatest(a, 30) AS part, n FROM r WHERE a < 60 AND b > 30)
+SELECT o_orderkey AS k, arg_max('s' || n, part * 1000000 - a) AS style FROM orders LEFT JOIN o ON o_orderkey = k GROUP BY o_orderkey""")
+def majority_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The style that covers most of characters 30 to 60 of each order, whose lines are runs as
+    long as their quantities."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum("l_quantity").over(w).cast("long")
+    runs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), (end - F.col("l_quantity").cast("long")).alias("start"), end.alias("end"), F.concat(F.lit("s"), "l_linenumber").alias("style"))
+    paragraphs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit(30).cast("long").alias("start"), F.lit(60).cast("long").alias("end"))
+    return relational.majority_style(paragraphs, runs, "k").select("k", "style")

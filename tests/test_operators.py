@@ -216,3 +216,9 @@ def test_majority_style(spark):
     p = spark.createDataFrame([("d", 0, 10), ("d", 10, 12), ("d", 50, 60)], "doc_key string, start int, end int")
     r = spark.createDataFrame([("d", 0, 4, "a"), ("d", 4, 11, "b"), ("d", 11, 40, "c")], "doc_key string, start int, end int, style string")
     assert {x.start: x.style for x in majority_style(p, r).collect()} == {0: "b", 10: "b", 50: None}
+
+
+def test_functions_in_sql(spark):
+    assert "readable" in quire.register(spark)
+    row = spark.sql("SELECT csv_rows('a,\"b\"\"\"\\nc') AS r, csv_text(array(array('x,', null))) AS t, sanitize_unicode(concat('a', chr(160))) AS u, html_markdown('<b>x</b> <a href=y>z</a>', 'http://h/') AS m, readable('<title>T</title>few').title AS h, readable(null) AS n").first()
+    assert (row.r, row.t, row.u, row.m, row.h, row.n) == ([["a", 'b"'], ["c"]], '"x,",', "a ", "**x** [z](http://h/y)", "T", None)
