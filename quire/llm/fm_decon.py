@@ -38,7 +38,7 @@ IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
 BLOCK = 4 << 20
 SAMPLE = 8
 #: Benchmark bytes searched at once; a larger benchmark is taken in blocks of items.
-QUERY_BLOCK = 8 << 20
+QUERY_BLOCK = 2 << 20
 OUTPUT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:bigint,end:bigint>>"}
 
 
