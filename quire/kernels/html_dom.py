@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 from collections.abc import Iterator
 
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -19,6 +20,9 @@ HEAD_ONLY = frozenset("base basefont bgsound link meta title style script noscri
 TABLE_PARTS = frozenset("table tbody thead tfoot tr".split())
 IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 BLOCKS = CLOSES_P | frozenset("html head body frameset script noscript style meta link title frame noframes ins del caption thead tfoot tbody colgroup col tr th td video audio canvas template svg math".split())
+#: Elements nested deeper than this become siblings, as in browsers; walks of the tree recur.
+DEEPEST = 256
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEEPEST))
 _TAG = re.compile(r"""<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>|[!?/][^>]*>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
@@ -116,7 +120,8 @@ class Builder:
     def open(self, tag: str, attrs: dict[str, str]) -> Element:
         e = Element(tag, attrs)
         self.place(e)
-        self.stack.append(e)
+        if len(self.stack) < DEEPEST:
+            self.stack.append(e)
         return e
 
     # --- the stack of open elements -----------------------------------------------------

@@ -93,6 +93,15 @@ def test_tree_reopens_formatting_and_fosters():
     assert doc.title() == "T & U" and [e.tag for e in doc.body.elements()] == ["p"]
 
 
+def test_deep_and_broken_pages():
+    deep = "<div>" * 20000 + "x" + "<b><i>" * 3000 + "y</div>" + "</i><table><tr><td>" * 500 + "z"
+    assert {"xy", "z"} <= set(page_markdown(deep)[1].replace("*", " ").replace("|", " ").split())
+    assert "y" in readable(deep).text_content
+    for bad in ("<", "<a", "<a href='x", "<!--", "<p <b>>", "</", "<title>", "<script>", "&#xD800;&#0;&bogus;", "\x00<p>\x00", "<table><td></table></td>", "</p></b>", "<select><option>a<option>b"):
+        page_markdown(bad)
+        readable(bad)
+
+
 STORY = "<p>This is the first sentence of a story, which has commas, and goes on for quite some time so that it counts.</p>" * 3
 PAGE = f'<html lang=en><head><title>Tab</title><meta property="og:title" content="Title"><meta name=author content="Ann"></head><body><nav>menu</nav><div id=main><h1>Head</h1>{STORY}<p class=promo>Buy</p></div><div class="site-footer">foot</div></body></html>'
 
