@@ -15,6 +15,7 @@ name that is already taken is replaced.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,23 +45,29 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class PairTree:
-    """A segment tree over the pair ranks of one word."""
-
-    def __init__(self, ranks: list[int | None]) -> None:
-        self.width = 1 << max(0, (len(ranks) - 1).bit_length())
-        self.none = 1 << 62
-        leaves = [self.none if r is None else r * self.width + i for i, r in enumerate(ranks)]
-        self.node = [self.none] * self.width + leaves + [self.none] * (self.width - len(leaves))
-        for k in range(self.width - 1, 0, -1):
-            self.node[k] = min(self.node[2 * k], self.node[2 * k + 1])
+    """A segment tree over the pair ranks of one word; NONE stands for no merge. Nodes are
+    packed integers, so that even a word of megabytes takes 16 bytes a symbol."""
+
+    def __init__(self, ranks: np.ndarray) -> None:
+        n = len(ranks)
+        self.width = max(2, 1 << max(0, n - 1).bit_length())
+        node = np.full(2 * self.width, NONE, np.int64)
+        node[self.width : self.width + n] = np.where(ranks < NONE, ranks * self.width + np.arange(n), NONE)
+        level = self.width
+        while level > 1:
+            half = level >> 1
+            node[half:level] = np.minimum(node[level : 2 * level : 2], node[level + 1 : 2 * level : 2])
+            level = half
+        self.node = array("q", node.tobytes())
 
     def root(self) -> tuple[int, int] | None:
-        least = self.node[1] if self.width > 1 else self.node[self.width]
-        return None if least >= self.none else divmod(least, self.width)
+        """The lowest rank and its leftmost place."""
+        least = self.node[1]
+        return None if least >= NONE else divmod(least, self.width)
 
     def put(self, i: int, rank: int | None) -> None:
         k, node = i + self.width, self.node
-        node[k] = self.none if rank is None else rank * self.width + i
+        node[k] = int(NONE) if rank is None else rank * self.width + i
         while k > 1:
             k >>= 1
             node[k] = min(node[2 * k], node[2 * k + 1])
@@ -105,23 +112,24 @@ class Encoder:
         return np.where(self.keys[at] == key, self.key_rank[at], NONE)
 
     def merge_long(self, word: bytes) -> bytes:
-        sym: list[int] = self.first[np.frombuffer(word, np.uint8)].tolist()
-        n = len(sym)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        tree = PairTree([self.rank.get(p) for p in zip(sym, sym[1:])])
+        first = self.first[np.frombuffer(word, np.uint8)]
+        n = len(first)
+        tree = PairTree(self.ranks(first[:-1], first[1:]))
+        sym, after, before = (array("q", x.tobytes()) for x in (first, np.arange(1, n + 1), np.arange(-1, n - 1)))
         while (least := tree.root()) is not None:
             rank, i = least
             j = after[i]
             sym[i], sym[j] = int(self.merged[rank]), -1
             k = after[i] = after[j]
-            if j < tree.width:
+            if j < n - 1:
                 tree.put(j, None)
             if k < n:
                 before[k] = i
             tree.put(i, self.rank.get((sym[i], sym[k])) if k < n else None)
             if (p := before[i]) >= 0:
                 tree.put(p, self.rank.get((sym[p], sym[i])))
-        return np.array([s for s in sym if s >= 0], "<u4").tobytes()
+        left = np.frombuffer(sym, np.int64)
+        return left[left >= 0].astype("<u4").tobytes()
 
     def merge_many(self, words: list[bytes], width: int) -> list[bytes]:
         """Words of 1 to ``width`` bytes, whose trees are merged in step."""

@@ -51,12 +51,12 @@ def test_bpe_matches_library(coder, texts):
 
 
 def test_pair_tree_takes_leftmost_lowest():
-    from quire.llm.bpe import PairTree
+    from quire.llm.bpe import NONE, PairTree
 
     rng = random.Random(5)
     for n in (1, 2, 3, 9, 64):
         ranks = [rng.choice([None, 1, 2, 3]) for _ in range(n)]
-        tree = PairTree(ranks)
+        tree = PairTree(np.array([NONE if r is None else r for r in ranks], np.int64))
         for _ in range(30):
             least = min(((r, i) for i, r in enumerate(ranks) if r is not None), default=None)
             assert tree.root() == least
