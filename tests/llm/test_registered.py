@@ -39,7 +39,7 @@ def test_ten_operators_and_pipeline_are_registered():
 
 def test_pipeline_stages_against_brute_force(spark, db):
     import corpus_pipeline
-    from test_operators import brute_hits, near_groups
+    from test_llm_operators import brute_hits, near_groups
 
     from quire.llm.bpe import Encoder
     from quire.llm.queries import tokenizer
