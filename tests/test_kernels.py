@@ -328,7 +328,7 @@ def test_pdf():
 
 def test_pdf_unicode_maps():
     cmap = b"1 beginbfchar <01> <0041> endbfchar 1 beginbfrange <02> <04> <03B1> endbfrange"
-    assert pdf.decoded(b"\1\2\4\9", pdf.unicode_map(cmap)) == "Aαγ"
+    assert pdf.decoded(b"\x01\x02\x04\x09", pdf.unicode_map(cmap)) == "Aαγ"
 
 
 def test_ocr():
