@@ -21,8 +21,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import settled
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -71,13 +69,14 @@ def spans_of(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def read_ledger(spark: SparkSession, path: str, version: str, without: str | None = None) -> DataFrame:
-    """The blobs that are scanned at a rule version, each once; ``without`` leaves out a run."""
+    """The blobs that are scanned at a rule version; ``without`` leaves out a run. A blob may
+    stand there more than once, if runs were at work at the same time."""
     at = f"{path}/rule_version={version}"
     where = spark._jvm.org.apache.hadoop.fs.Path(at)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], LEDGER)
     found = spark.read.option("basePath", at).schema(f"{LEDGER}, run string").parquet(at)
-    return found.where(F.col("run") != without if without else F.lit(True)).drop("run").dropDuplicates(["blob_id"])
+    return found.where(F.col("run") != without if without else F.lit(True)).drop("run")
 
 
 def scan_secrets(df: DataFrame, ledger: str, run: str, text: str = "text", key: str = "doc_id", rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
@@ -87,12 +86,12 @@ def scan_secrets(df: DataFrame, ledger: str, run: str, text: str = "text", key:
     that a run can be repeated after a failure."""
     spark = df.sparkSession
     rows = df.withColumn("blob_id", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
-    held = settled(rows.select(*(c for c in rows.columns if c not in (text, "spans"))))
+    held = rows.select(*(c for c in rows.columns if c not in (text, "spans")))
     name = F.coalesce(F.col(key).cast("string"), F.lit("")).alias("__quire_one")
     unseen = held.select("blob_id", name).groupBy("blob_id").agg(F.min("__quire_one").alias("__quire_one")).join(read_ledger(spark, ledger, version, without=run), "blob_id", "left_anti")
-    blobs = rows.select("blob_id", name, F.col(text).alias("__quire_text")).join(settled(unseen).hint("shuffle_hash"), ["blob_id", "__quire_one"], "left_semi")
+    blobs = rows.select("blob_id", name, F.col(text).alias("__quire_text")).join(unseen.hint("shuffle_hash"), ["blob_id", "__quire_one"], "left_semi")
     found = blobs.select("blob_id", spans_of(F.coalesce("__quire_text", F.lit("")), rules).alias("spans"))
     found.dropDuplicates(["blob_id"]).write.mode("overwrite").parquet(f"{ledger}/rule_version={version}/run={run}")
-    findings = read_ledger(spark, ledger, version).where(F.size("spans") > 0)
+    findings = read_ledger(spark, ledger, version).where(F.size("spans") > 0).dropDuplicates(["blob_id"])
     out = held.join(findings, "blob_id", "left")
     return out.withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
