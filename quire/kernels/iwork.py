@@ -6,6 +6,8 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from quire.kernels import iwork_tables as grid
 from quire.kernels.docx import destination, label
 from quire.kernels.iwa import HYPERLINK, SLIDE, STORAGE, Object, body_text, fields, graph, messages, objects, reference, stream_text, utf8
@@ -16,7 +18,8 @@ from quire.kernels.snappy import Malformed, unpack_stream
 
 _LINES = re.compile("\r\n|[\r\u2028\u2029\x0b\x0c]")
 _DROPPED = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffc]")
-PLACEHOLDER, PARAGRAPH_ENDS = 0xFFFC, frozenset((0x0A, 0x0D, 0x2029))
+PLACEHOLDER = 0xFFFC
+_STRIPPED = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f\ufffc]")
 DOCUMENT, INDEX = "Document.iwa", "Index.zip"
 #: Fields of a storage that hold runs: styles, attachments, smart fields.
 PARAGRAPH_STYLES, CHARACTER_STYLES, ATTACHMENTS, SMART_FIELDS = 5, 8, 9, 11
@@ -128,7 +131,7 @@ def heading_level(name: str | None) -> int | None:
 class Body:
     """A body storage: its UTF-16 units and what holds over them."""
 
-    units: list[int]
+    units: np.ndarray
     by_id: dict[int, Object]
     paragraphs: list[tuple[int, int | None]]
     characters: list[tuple[int, int | None]]
@@ -141,10 +144,13 @@ class Body:
         text = body_text(o.payload)
         if text is None:
             return None
-        raw = text.encode("utf-16-le")
-        units = [raw[k] | raw[k + 1] << 8 for k in range(0, len(raw), 2)]
+        units = np.frombuffer(text.encode("utf-16-le"), "<u2")
         return cls(units, by_id, *(runs(o.payload, n) for n in (PARAGRAPH_STYLES, CHARACTER_STYLES, SMART_FIELDS)))
 
+    def text(self, lo: int, hi: int) -> str:
+        """Units as text, without placeholders and controls; half pairs stay for a neighbour."""
+        return _STRIPPED.sub("", self.units[lo:hi].tobytes().decode("utf-16-le", "surrogatepass"))
+
     @staticmethod
     def holding(found: list[tuple[int, int | None]], at: int) -> int | None:
         """What holds at a unit: the last run that begins at or before it."""
@@ -163,19 +169,19 @@ class Body:
         return (self.urls[smart] if smart is not None else None, *(self.known[style] if style is not None else (False, False)))
 
     def inline(self, lo: int, hi: int, emphasis: bool = True) -> str:
-        pieces: list[list] = []  # link, bold, italic, units
-        for k in range(lo, hi):
-            u = self.units[k]
-            if u == PLACEHOLDER or u < 0x09 or 0x0E <= u < 0x20 or 0x7F <= u <= 0x9F:
-                continue
-            own = self.look(k, emphasis)
-            if pieces and tuple(pieces[-1][:3]) == own:
-                pieces[-1][3].append(u)
-            else:
-                pieces.append([*own, [u]])
+        begins = {at for found in (self.characters, self.fields) for at, _ in found if lo < at < hi}
+        cuts = [lo, *sorted(begins), hi]
+        pieces: list[list] = []  # link, bold, italic, text
+        for a, b in zip(cuts, cuts[1:]):
+            if text := self.text(a, b):
+                own = self.look(a, emphasis)
+                if pieces and tuple(pieces[-1][:3]) == own:
+                    pieces[-1][3] += text
+                else:
+                    pieces.append([*own, text])
         out: list[list] = []  # link, text
-        for url, bold, italic, units in pieces:
-            text = b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "replace")
+        for url, bold, italic, text in pieces:
+            text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
             text = emphasized(text, bold, italic) if text.strip(" \t") else text
             if out and out[-1][0] == url:
                 out[-1][1] += text
@@ -190,18 +196,21 @@ class Body:
         for (begin, who), end in zip(self.paragraphs, ends):
             if who is None or end <= lo or begin >= hi:
                 continue
-            seen = sum(1 for u in self.units[max(lo, begin) : min(hi, end)] if u in (0x09, 0x0A) or not (u < 0x20 or 0x7F <= u <= 0x9F or u == PLACEHOLDER))
+            u = self.units[max(lo, begin) : min(hi, end)]
+            hidden = (u < 0x20) & (u != 0x09) & (u != 0x0A) | (u >= 0x7F) & (u <= 0x9F) | (u == PLACEHOLDER)
+            seen = len(u) - int(hidden.sum())
             if seen > most:
                 best, most = who, seen
         return best
 
     def paragraph(self, lo: int, hi: int) -> str:
-        level = heading_level(style_name(self.paragraph_style(lo, hi), self.by_id))
+        level = heading_level(style_name(self.paragraph_style(lo, hi), self.by_id)) if self.paragraphs else None
         text = self.inline(lo, hi, emphasis=level is None)
         return "#" * level + " " + " ".join(text.split()) if level and text else text
 
     def markdown(self, lo: int, hi: int) -> str:
-        cuts = [k for k in range(lo, hi) if self.units[k] in PARAGRAPH_ENDS] + [hi]
+        u = self.units[lo:hi]
+        cuts = (lo + np.flatnonzero((u == 0x0A) | (u == 0x0D) | (u == 0x2029))).tolist() + [hi]
         parts = (self.paragraph(a, b) for a, b in zip([lo, *(c + 1 for c in cuts)], cuts))
         return "\n\n".join(p for p in parts if p)
 
@@ -218,7 +227,7 @@ def inline_blocks(stream: bytes, by_id: dict[int, Object]) -> list[tuple[str, st
     placed: set[int] = set()
     for o, body in bodies(stream, by_id):
         attached = [(at, who) for at, who in runs(o.payload, ATTACHMENTS) if who is not None]
-        marks = [k for k, u in enumerate(body.units) if u == PLACEHOLDER]
+        marks = np.flatnonzero(body.units == PLACEHOLDER).tolist()
         if len(marks) != len(attached):
             return None
         begin = 0
