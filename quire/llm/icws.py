@@ -9,12 +9,15 @@ against their few changed words, and copies of plain similarity above 0.8 would
 ICWS draws HASHES samples (shingle, step) a document; two documents share a sample with the
 probability of their weighted Jaccard similarity. BANDS bands of ROWS samples give buckets.
 In a bucket the document of least hash is the centre, and every other member is compared with
-it on whole texts (exact weighted Jaccard of 0.8 or more makes a link); a bucket thus has as
-many comparisons as members, never all pairs. Members that fail are compared, in up to ROUNDS
-rounds, with a centre of their own and with the last round's member of greatest hash, so that
-links which the first centre doesn't witness are found; a link that none of these witnesses
-in any of its bands would be missed. Copies of one text count once:
-texts are collapsed by hash before anything is paired. Components of the links are the groups.
+it on whole texts (exact weighted Jaccard of 0.8 or more makes a link). The centre has then met
+all others and leaves; the rest stay, whether they matched or not, and texts that the links so far
+join get one label. A bucket is settled once its members have one label. Buckets of more than
+LARGE members that aren't get up to ROUNDS centres in all, those with the most links first, so
+that the middle of a large group is soon found. What is then unsettled is compared exactly,
+each pair of texts of different labels, in blocks of BLOCK members. No link between texts that
+share a bucket is thus missed; texts that aren't near but share a large bucket cost all their
+pairs, as nothing else shows that none is near. Copies of one text count once: texts are
+collapsed by hash before anything is paired. Components of the links are the groups.
 
 Defined results: words are runs between white space; a text of fewer than five words is one
 shingle; null and texts without words are never near anything but are kept as they are (equal
@@ -26,21 +29,26 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import bounded_batches, mixed, remove, run_hashes, runs, scratch, settled, texts_to_bytes
+from quire.llm.common import bounded_batches, mixed, remove, run_hashes, runs, scratch, segment_positions, settled, texts_to_bytes
 from quire.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 HASHES = BANDS * ROWS
-ROUNDS = 3
+#: Centres that a bucket of more than LARGE members may have before all its pairs are compared.
+ROUNDS, LARGE = 4, 4096
+#: Members, and about how many bytes of text, of one side of a block of comparisons.
+BLOCK, BLOCK_BYTES = 256, 4 << 20
 IDF_SHARE = 0.25
 #: Document frequencies are counted in this many hashed counters.
 COUNTERS = 1 << 20
@@ -194,6 +202,50 @@ def similarity(a: str | None, b: str | None, weights: Weights) -> float:
     return float(both / either) if either else 0.0
 
 
+def block_links(text: pa.Array, keys: np.ndarray, label: np.ndarray, side: np.ndarray, band: int, weights: Weights, threshold: float) -> list[tuple[int, int]]:
+    """Rows of a bucket's block that are near, one link for each two labels that it joins. Rows
+    of one label needn't meet, nor rows of one side where there are two, nor such as have met in
+    the bucket of an earlier band; all others are compared, earlier rows first."""
+    label = label.copy()
+    codes, loads, sizes = [], [], []
+    for _, _, data, offsets in grouped(text):
+        code, count, first = shingles(data, offsets)
+        codes.append(code)
+        loads.append(weights.of(code, count).astype(np.float64))
+        sizes.append(np.diff(first))
+    names, code = np.unique(np.concatenate(codes), return_inverse=True)
+    load, size = np.concatenate(loads), np.concatenate(sizes)
+    first = np.append(0, np.cumsum(size))
+    whole = np.add.reduceat(load, first[:-1])
+    two = side.min() != side.max()
+    own, out = np.zeros(len(names)), []
+    for a in range(len(text) - 1):
+        may = label[a + 1 :] != label[a]
+        if two:
+            may &= side[a + 1 :] != side[a]
+        may &= np.minimum(whole[a + 1 :], whole[a]) >= (threshold - 1e-6) * np.maximum(whole[a + 1 :], whole[a])
+        may &= ~(keys[a + 1 :, :band] == keys[a, :band]).any(axis=1)
+        others = a + 1 + np.flatnonzero(may)
+        if not len(others):
+            continue
+        mine = slice(first[a], first[a + 1])
+        own[code[mine]] = load[mine]
+        n = size[others]
+        at = np.repeat(first[others], n) + segment_positions(n)
+        both = np.add.reduceat(np.minimum(own[code[at]], load[at]), np.cumsum(n) - n)
+        own[code[mine]] = 0
+        value = both / (whole[a] + whole[others] - both)
+        near = value >= threshold
+        for k in np.flatnonzero(np.abs(value - threshold) < 1e-6):  # sums in another order: as pairs elsewhere are decided
+            x, y = sorted((text[a].as_py(), text[int(others[k])].as_py()))
+            near[k] = similarity(x, y, weights) >= threshold
+        for b in others[near].tolist():
+            if label[b] != label[a]:
+                out.append((a, b))
+                label[label == label[b]] = label[a]
+    return out
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, group_id, copy_of, kept) for each row of df: the least id of its group, the least
     id of equal texts, and whether the row is its group's one to keep."""
@@ -208,8 +260,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         return pa.array(sampler.bands(column, weights), pa.binary())
 
     t = F.col(text)
-    signed = settled(df.select(F.col(key).alias("id"), F.sha2(t.cast("binary"), 256).alias("hash"), bands(t).alias("bands")))
-    texts = settled(signed.where("bands is not null and id is not null").groupBy("hash").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    signed = settled(df.select(F.col(key).alias("id"), F.sha2(t.cast("binary"), 256).alias("hash"), F.octet_length(t).cast("long").alias("bytes"), bands(t).alias("bands")))
+    texts = settled(signed.where("bands is not null and id is not null").groupBy("hash").agg(F.min("id").alias("rep"), F.first("bytes").alias("bytes"), F.first("bands").alias("bands")))
     place = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.struct(k.cast("byte").alias("band"), F.substring(F.col("bands"), (k * 8 + 1).cast("int"), F.lit(8)).alias("bucket"))))
     members = settled(texts.select("rep", place.alias("p")).select("rep", "p.band", "p.bucket"))
 
@@ -233,25 +285,64 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         two = one.join(whole.withColumnsRenamed({"id": "b", "text": "_b"}), "b")
         return settled(two.select("a", "b", near("_a", "_b").alias("near")))
 
-    def pair(end: str) -> DataFrame:
-        return placed.where(F.col("rep") != F.col(end)).select(F.least("rep", end).alias("a"), F.greatest("rep", end).alias("b"))
-
-    links, tried, left = None, None, paired.withColumn("witness", F.lit(None).cast(members.schema["rep"].dataType))
+    def unsettled(rows: DataFrame) -> DataFrame:
+        """The rows of buckets with several labels, with label and the bucket's rows n. A label
+        is the least text within two links, so that texts of one label are of one component."""
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        one = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("one"))
+        two = both.join(one.withColumnsRenamed({"a": "b"}), "b").groupBy(F.col("a").alias("rep")).agg(F.min("one").alias("two"))
+        rows = settled(rows.join(two, "rep", "left").withColumn("label", F.least("rep", "two")).drop("two"))
+        many = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        return settled(rows.join(many.select("band", "bucket", "n"), ["band", "bucket"]))
+
+    def with_degree(rows: DataFrame) -> DataFrame:
+        degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
+        return rows.join(degree, "rep", "left").fillna(0, "degree")
+
+    links = paired.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+    left, rest = paired.withColumns({"label": F.col("rep"), "degree": F.lit(0)}), []
     for k in range(ROUNDS):
-        order = F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("r"))
-        ends = left.groupBy("band", "bucket").agg(F.min(order)["r"].alias("centre"), F.max(order)["r"].alias("last"), F.count(F.lit(1)).alias("n"))
-        # a row that failed alone still meets its bucket's other witness
-        placed = left.join(settled(ends.where("n > 1" if not k else "true").drop("n")), ["band", "bucket"])
-        pairs = pair("centre") if not k else pair("centre").unionByName(pair("witness"))
-        pairs = settled(pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        checked = verified(pairs)
-        near_ones = checked.where("near").select("a", "b")
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        links = near_ones if links is None else links.unionByName(near_ones)
-        failed = placed.where("rep <> centre").withColumns({"a": F.least("rep", "centre"), "b": F.greatest("rep", "centre")})
-        left = settled(failed.join(links.distinct(), ["a", "b"], "left_anti").select("rep", "band", "bucket", F.col("last").alias("witness")))
-        if left.isEmpty():
+        # the middle of a group is near to the centres that its other members failed against
+        hashed = F.xxhash64("rep") if not k else F.xxhash64("rep", "band", F.lit(k))
+        order = F.struct(-F.col("degree"), hashed, F.col("rep").alias("r"), F.col("label").alias("l"))
+        ends = left.groupBy("band", "bucket").agg(F.min(order).alias("e")).select("band", "bucket", F.col("e.r").alias("centre"), F.col("e.l").alias("_l"))
+        placed = settled(left.join(ends, ["band", "bucket"]).where("rep <> centre"))
+        pairs = placed.where("label <> _l").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+        links = settled(links.unionByName(verified(settled(pairs)).where("near").select("a", "b")))
+        left = unsettled(placed.select("rep", "band", "bucket"))
+        last = k + 1 == ROUNDS or left.where(F.col("n") > LARGE).isEmpty()
+        rest.append(left if last else left.where(F.col("n") <= LARGE))
+        if last:
             break
+        left = with_degree(left.where(F.col("n") > LARGE))
+
+    # What the centres left open: all pairs of different components, in blocks.
+    open_ = rest[0] if len(rest) == 1 else unsettled(reduce(DataFrame.unionByName, rest).select("rep", "band", "bucket"))
+    if not open_.isEmpty():
+        open_ = settled(with_degree(open_.join(texts.select("rep", "bytes", "bands"), "rep")))
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+        sized = open_.groupBy("band", "bucket").agg(blocks.alias("blocks"))
+        own = open_.join(sized, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
+        dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
+        dealt = dealt.hint("shuffle_hash").join(whole.withColumnRenamed("id", "rep"), "rep").select("band", "bucket", "i", "j", "side", "rep", "label", "degree", "bands", "text")
+        kind = pa.schema([("a", to_arrow_type(members.schema["rep"].dataType)), ("b", to_arrow_type(members.schema["rep"].dataType))])
+
+        def compare(block: pa.Table) -> pa.Table:
+            weights, _ = shared.value
+            block = block.sort_by([("degree", "descending"), ("rep", "ascending")])
+            side = block["side"].to_numpy()
+            band, i, j = (block[c][0].as_py() for c in ("band", "i", "j"))
+            near: list[tuple[int, int]] = []
+            if i == j or side.min() != side.max():  # else a block that met an empty one
+                keys = np.frombuffer(b"".join(block["bands"].to_pylist()), np.uint64).reshape(-1, BANDS)
+                label = pc.dictionary_encode(block["label"].combine_chunks()).indices.to_numpy()
+                near = block_links(block["text"].combine_chunks(), keys, label, side, band, weights, threshold)
+            rep = block["rep"].combine_chunks()
+            a, b = (rep.take(pa.array([x[e] for x in near], pa.int64())) for e in (0, 1))
+            return pa.Table.from_arrays([a.cast(kind.field(0).type), b.cast(kind.field(1).type)], schema=kind)
+
+        found = dealt.groupBy("band", "bucket", "i", "j").applyInArrow(compare, links.schema)
+        links = settled(links.unionByName(found))
     remove(spark, texts_at)
     group = components(links).withColumnsRenamed({"node": "rep", "component": "group_id"})
     named = settled(texts.select("hash", "rep").join(group, "rep", "left").select("hash", F.col("rep").alias("copy_of"), F.coalesce("group_id", "rep").alias("group_id")))

@@ -153,6 +153,37 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert {r.doc_id for r in rows if r.kept} == set(want.values())
 
 
+def hub_and_spokes(n, rng, at=50_000):
+    """A document and n copies of it, each with other edits, in which its id is in the middle."""
+    hub = [f"h{rng.randrange(10**6)}" for _ in range(300)]
+    own = {at + n // 2: " ".join(hub)}
+    for k in range(n):
+        w = list(hub)
+        for p in rng.sample(range(10, 290), 5):
+            w[p] = f"e{rng.randrange(10**9)}"
+        own[at + k + (k >= n // 2)] = " ".join(w)
+    return own, at + n // 2
+
+
+def test_near_duplicates_of_hub_and_spokes(spark, texts):
+    from quire.llm.icws import COUNTERS, Weights, counter_of, grouped, near_duplicates, shingles, similarity
+
+    rng = random.Random(12)
+    spokes, hub = hub_and_spokes(1000, rng)
+    own = {**texts, **spokes}
+    total = np.zeros(COUNTERS, np.int64)
+    for _, _, data, offsets in grouped(pa.array(list(own.values()), pa.string())):
+        total += np.bincount(counter_of(shingles(data, offsets)[0]), minlength=COUNTERS)
+    weights = Weights(total, len(own))
+    assert all(similarity(t, own[hub], weights) >= 0.8 for t in spokes.values())
+    others = [i for i in spokes if i != hub]
+    assert np.mean([similarity(own[a], own[b], weights) < 0.8 for a, b in (rng.sample(others, 2) for _ in range(3000))]) > 0.98
+    rows = near_duplicates(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.group_id for r in rows}
+    assert {got[i] for i in spokes} == {min(spokes)}
+    assert {i: g for i, g in got.items() if i in texts} == near_groups(texts)
+
+
 def test_components_of_long_chain(spark):
     from quire.llm.components import components
 
