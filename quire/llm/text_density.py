@@ -11,7 +11,10 @@ headings and short sections of an article stay.
 
 Elements that can't be article text are set aside before densities are computed: menus, page
 headers, footers, sidebars, forms, scripts, styles, and elements whose class, id or role names
-an advert, notice, menu, sidebar, form, or reader comments.
+an advert, notice, menu, sidebar, form, or reader comments. A class or id such as has-sidebar
+names a layout. A name alone doesn't set aside an element that holds the page's main element, all
+its articles or most of its text, and inside an article an id, or a part of a class that is an
+ordinary word, does so only where the text is mostly links or list items.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by a blank line in page order; a line break counts as white space.
@@ -59,6 +62,11 @@ UNLIKE = re.compile(
 )
 #: Names of a page's head, outside of an article.
 UNLIKE_TOP = re.compile(r"(?:^|\s)(?:header|site-?header|top-?bar|top-?header)(?:$|\s)", re.I)
+#: Class and id tokens of these beginnings tell what a layout has.
+MODIFIER = re.compile(r"(?:has|no|with|without|hide|show)[-_]", re.I)
+#: Ids of reader comments, and ordinary words that article sections are named by as well.
+THREAD = re.compile(r"comments?(?:[-_](?:section|area|list))?|commentlist|disqus(?:_thread)?|respond", re.I)
+ORDINARY = frozenset("notice notices notification alert overlay side reply replies respond discussion share sharing social related search form legal copyright skip subscription consent login menu comment banner".split())
 UNLIKE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 TOKEN = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([a-zA-Z][^\s/>]*)([^>]*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -66,7 +74,7 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "aside", "kept", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "best_total", "children", "parts")
+    __slots__ = ("tag", "parent", "aside", "kept", "chars", "link_chars", "tags", "link_tags", "density", "total", "best", "best_total", "children", "parts", "named")
 
     def __init__(self, tag: str, parent: Node | None, aside: bool, kept: bool) -> None:
         self.tag, self.parent, self.aside, self.kept = tag, parent, aside, kept
@@ -74,20 +82,74 @@ class Node:
         self.children: list[Node] = []
         self.parts: list[str | Node] = []
         self.density = self.total = 0.0
+        self.named = ""
 
 
-def unlike(tag: str, attributes: str, within_article: bool) -> bool:
-    """Whether an element can't hold article text."""
+def token_names(token: str, attribute: str, within_article: bool) -> str:
+    """'surely', 'thread' or 'maybe' where a class or id token names what isn't article text."""
+    if MODIFIER.match(token) or not UNLIKE.search(token):
+        return "surely" if not within_article and UNLIKE_TOP.search(token) else ""
+    if THREAD.fullmatch(token):
+        return "thread"
+    if not within_article:
+        return "surely"
+    hits = {w.lower() for w in re.split(r"[-_]", token) if UNLIKE.search(w)}
+    whole = attribute == "class" and len(re.split(r"[-_]", token)) == 1
+    return "maybe" if attribute == "id" or hits <= ORDINARY and not whole else "surely"
+
+
+def unlike(tag: str, attributes: str, within_article: bool) -> tuple[bool, str]:
+    """Whether an element can't hold article text, and whether its name says that it doesn't."""
     if tag in ASIDE or tag == "header" and not within_article:
-        return True
+        return True, ""
+    names: set[str] = set()
     if attributes and (within_article or tag not in ("body", "html", "article", "main")):
         for m in NAMES.finditer(attributes):
             name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if name in ("class", "id") and (UNLIKE.search(value) or not within_article and UNLIKE_TOP.search(value)) or name == "role" and value.lower() in UNLIKE_ROLE:
-                return True
-            if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
-                return True
-    return False
+            if name in ("class", "id"):
+                names |= {token_names(t, name, within_article) for t in value.split()}
+            elif name == "role" and value.lower() in UNLIKE_ROLE or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
+                return True, ""
+    return False, next((n for n in ("surely", "thread", "maybe") if n in names), "")
+
+
+def set_aside(nodes: list[Node]) -> None:
+    """Sets named elements aside, unless what they hold says otherwise."""
+    if not any(n.named for n in nodes):
+        return
+    text, links, items, held = ([0] * len(nodes) for _ in range(4))
+    at = {id(n): k for k, n in enumerate(nodes)}
+    named = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        named[k] = bool(n.named) or n.parent is not None and named[at[id(n.parent)]] and n.parent.kept and n.kept
+        if not n.aside:
+            text[k] = sum(len(" ".join(p.split())) for p in n.parts if p.__class__ is str)
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        if n.aside:
+            continue
+        links[k] = text[k] if n.tag == "a" else links[k]
+        items[k] = text[k] if n.tag == "li" else items[k]
+        held[k] += n.tag in ("article", "main") and not named[k]
+        if n.parent is not None:
+            up = at[id(n.parent)]
+            text[up] += text[k]
+            links[up] += links[k]
+            items[up] += items[k]
+            held[up] += held[k]
+    for k, n in enumerate(nodes):
+        if n.parent is not None and n.parent.aside:
+            n.aside = True
+        elif n.named and not n.aside:
+            if n.named == "maybe":
+                n.aside = 2 * max(links[k], items[k]) > text[k]
+            elif n.kept:
+                n.aside = True
+            elif held[0]:
+                n.aside = held[k] < held[0]
+            else:
+                plain = text[k] - links[k]
+                n.aside = not plain or plain <= (0.9 if n.named == "thread" else 0.5) * (text[0] - links[0])
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
@@ -100,6 +162,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
         if end > at:
             stack[-1].parts.append(page[at:end])
         if not m:
+            set_aside(nodes)
             return root, nodes
         at = m.end()
         tag = (m[1] or m[3] or "").lower()
@@ -125,7 +188,9 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     del stack[cut:]
             above = stack[-1]
             within = above.kept or tag in ("article", "main")
-            node = Node(tag, above, above.aside or unlike(tag, m[2] or m[4] or "", above.kept), within)
+            never, named = unlike(tag, m[2] or m[4] or "", above.kept)
+            node = Node(tag, above, above.aside or never, within)
+            node.named = named
             above.children.append(node)
             above.parts.append(node)
             nodes.append(node)

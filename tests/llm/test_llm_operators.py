@@ -362,6 +362,21 @@ def test_main_text_of_layouts():
     assert main_text("just text") == "just text"
 
 
+def test_main_text_under_names_of_layouts_and_sections():
+    from quire.llm.text_density import main_text
+
+    one, two = "First paragraph of the story, which is long enough to count as text.", "Second paragraph of the same story, which is long enough too."
+    side = '<div class="sidebar"><a href=1>One</a> <a href=2>Two</a></div>'
+    for name in ("content has-sidebar", "row right-sidebar", "site-content no-sidebar", "has-comments"):
+        assert main_text(f'<body><div class="{name}"><article><p>{one}</p><p>{two}</p></article>{side}</div>') == f"{one}\n\n{two}"
+        assert main_text(f'<body><div class="{name}"><div><p>{one}</p><p>{two}</p></div>{side}</div>') == f"{one}\n\n{two}"
+    for name in ('section id="discussion"', 'h2 id="side-effects"', 'div id="social-policy"', 'div class="legal-text"', 'section id="search"', 'section id="form-factor"'):
+        tag = name.split()[0]
+        assert main_text(f"<body><article><p>{one}</p><{name}>{two}</{tag}></article>") == f"{one}\n\n{two}"
+    links = "<ul><li><a href=1>Another story</a><li><a href=2>One more</a></ul>"
+    assert main_text(f'<body><article><p>{one}</p><p>{two}</p><div id="related">{links}</div><div class="ad">Buy this</div></article>') == f"{one}\n\n{two}"
+
+
 # --- FM-index -------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
