@@ -67,3 +67,18 @@ def test_pipeline_stages_against_brute_force(spark, db):
                 assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
                 assert r.decoded_sha256 == hashlib.sha256(before[i].text.encode()).hexdigest()
         before = after
+
+
+def test_pipeline_near_dedup_of_hub_and_spokes(spark):
+    import random
+
+    import corpus_pipeline
+    from test_llm_operators import hub_and_spokes, near_groups
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(100)
+    own, _ = hub_and_spokes(200, random.Random(3))
+    more = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in own.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame(docs.unionByName(more.select(*docs.columns)).toArrow())
+    want = set(near_groups({r.doc_id: r.text for r in docs.collect()}).values())
+    assert len(want & set(own)) == 1
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == want
