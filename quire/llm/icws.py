@@ -1,10 +1,14 @@
 """MinHash near-dedup by improved consistent weighted sampling (ICWS).
 
 A document is a weighted set of shingles of five words. A shingle's weight is TF-IDF: (1 + ln
-count) * (1 + IDF_SHARE * ln(N / df) / ln N), where df counts documents over the whole corpus
-in hashed counters, corrected by the mean load. The IDF term is kept to IDF_SHARE: with a free
-logarithm the shingles of a group of thousands of near copies would weigh almost nothing
-against their few changed words, and copies of plain similarity above 0.8 would fall below it.
+count) * idf, where idf = 1 + IDF_SHARE * ln(N / df) / ln(N / floor) runs from 1 (in all
+documents) to 1 + IDF_SHARE (rare). df counts documents over the whole corpus in COUNTERS
+hashed counters less their median load; floor is what can't be told from the noise of other
+shingles in a counter (four deviations, 1 in a small corpus). Shingles rarer than floor have
+one weight, so that a weight never follows chance collisions, and memory is the same for a
+corpus of any size. The IDF term is kept to IDF_SHARE: with a free logarithm the shingles of a
+group of thousands of near copies would weigh almost nothing against their few changed words,
+and copies of plain similarity above 0.8 would fall below it (README gives figures).
 
 ICWS draws HASHES samples (shingle, step) a document; two documents share a sample with the
 probability of their weighted Jaccard similarity. BANDS bands of ROWS samples give buckets.
@@ -21,8 +25,10 @@ collapsed by hash before anything is paired. Components of the links are the gro
 
 Defined results: words are runs between white space; a text of fewer than five words is one
 shingle; null and texts without words are never near anything but are kept as they are (equal
-ones are not grouped); a group's name is its least id. Ids must be unique where given; rows
-with a null id pass with a null group. Columns of df with an output's name are replaced.
+ones are not grouped); a group's name is its least id. Of rows that repeat an id with the same
+text one is kept; an id must not have several texts. Rows with a null id pass with a null group
+and are kept. An empty table gives no rows; very long texts are compared whole; texts of equal
+hash count as equal. Columns of df with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -43,13 +49,13 @@ from quire.llm.components import components
 
 WORDS = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 20, 4
 HASHES = BANDS * ROWS
 #: Centres that a bucket of more than LARGE members may have before all its pairs are compared.
 ROUNDS, LARGE = 4, 4096
 #: Members, and about how many bytes of text, of one side of a block of comparisons.
 BLOCK, BLOCK_BYTES = 256, 4 << 20
-IDF_SHARE = 0.25
+IDF_SHARE = 0.5
 #: Document frequencies are counted in this many hashed counters.
 COUNTERS = 1 << 20
 #: The random numbers of ICWS come from tables of this many entries.
@@ -100,10 +106,11 @@ class Weights:
     """TF-IDF weights from hashed document counts."""
 
     def __init__(self, counts: np.ndarray, documents: int, share: float = IDF_SHARE) -> None:
-        load = counts.sum(dtype=np.float64) / len(counts)
-        df = np.clip(counts - load, 1, max(1, documents))
-        top = math.log(max(documents, 2))
-        self.idf = (1 + share * (top - np.log(df)) / top).astype(np.float32)
+        load = float(np.median(counts))
+        self.floor = max(1.0, 4 * 1.4826 * float(np.median(np.abs(counts - load))))
+        df = np.maximum(counts - load, self.floor)
+        span = math.log(max(documents / self.floor, math.e))
+        self.idf = (1 + share * np.maximum(math.log(max(documents, 1)) - np.log(df), 0) / span).astype(np.float32)
 
     def of(self, code: np.ndarray, count: np.ndarray) -> np.ndarray:
         return ((1 + np.log(count)) * self.idf[counter_of(code)]).astype(np.float32)
@@ -266,7 +273,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     members = settled(texts.select("rep", place.alias("p")).select("rep", "p.band", "p.bucket"))
 
     # Only texts that share a bucket with another one can be in a pair: these are kept apart,
-    # so that the rounds below don't shuffle the whole table.
+    # so that the rounds below don't shuffle the whole table. Tables of a row a bucket are
+    # settled before they are joined, so that a bucket of very many members can be split.
     shared_buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket")
     paired = settled(members.join(settled(shared_buckets), ["band", "bucket"], "left_semi"))
     texts_at = scratch(spark, "paired-texts")
@@ -293,7 +301,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         two = both.join(one.withColumnsRenamed({"a": "b"}), "b").groupBy(F.col("a").alias("rep")).agg(F.min("one").alias("two"))
         rows = settled(rows.join(two, "rep", "left").withColumn("label", F.least("rep", "two")).drop("two"))
         many = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        return settled(rows.join(many.select("band", "bucket", "n"), ["band", "bucket"]))
+        return settled(rows.join(settled(many.select("band", "bucket", "n")), ["band", "bucket"]))
 
     def with_degree(rows: DataFrame) -> DataFrame:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
@@ -306,7 +314,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         hashed = F.xxhash64("rep") if not k else F.xxhash64("rep", "band", F.lit(k))
         order = F.struct(-F.col("degree"), hashed, F.col("rep").alias("r"), F.col("label").alias("l"))
         ends = left.groupBy("band", "bucket").agg(F.min(order).alias("e")).select("band", "bucket", F.col("e.r").alias("centre"), F.col("e.l").alias("_l"))
-        placed = settled(left.join(ends, ["band", "bucket"]).where("rep <> centre"))
+        placed = settled(left.join(settled(ends), ["band", "bucket"]).where("rep <> centre"))
         pairs = placed.where("label <> _l").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
         links = settled(links.unionByName(verified(settled(pairs)).where("near").select("a", "b")))
         left = unsettled(placed.select("rep", "band", "bucket"))
@@ -321,7 +329,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     if not open_.isEmpty():
         open_ = settled(with_degree(open_.join(texts.select("rep", "bytes", "bands"), "rep")))
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-        sized = open_.groupBy("band", "bucket").agg(blocks.alias("blocks"))
+        sized = settled(open_.groupBy("band", "bucket").agg(blocks.alias("blocks")))
         own = open_.join(sized, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
         dealt = dealt.hint("shuffle_hash").join(whole.withColumnRenamed("id", "rep"), "rep").select("band", "bucket", "i", "j", "side", "rep", "label", "degree", "bands", "text")
@@ -350,10 +358,31 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     own = F.when(F.col("worded") & F.col("id").isNotNull(), F.col("group_id")).otherwise(F.col("id"))
     copy = F.when(F.col("worded") & F.col("id").isNotNull(), F.col("copy_of")).otherwise(F.col("id"))
     out = out.select(F.col("id").alias(key), own.alias("group_id"), copy.alias("copy_of"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("group_id")))
+    out = out.withColumn("kept", F.col(key).eqNullSafe(F.col("group_id")))
+    again = repeats(signed)
+    if again is None:
+        return out
+    # Of rows that repeat an id and text, the first is kept.
+    out = out.join(again.withColumnsRenamed({"id": key}), key, "left")
+    order = Window.partitionBy(key, "_again").orderBy("group_id")
+    some = out.where("_again").withColumn("kept", F.col("kept") & (F.row_number().over(order) == 1))
+    return out.where("_again is null").unionByName(some).drop("_again")
+
+
+def repeats(rows: DataFrame) -> DataFrame | None:
+    """The ids that stand in several rows (id, _again), or None if there's none."""
+    found = settled(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("_again")))
+    return None if found.isEmpty() else found
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """df with one row of each group of near duplicates, that of the least id."""
-    drop = near_duplicates(df, text, key, threshold).where("not kept").select(F.col(key).alias("__quire_drop"))
-    return df.join(settled(drop), df[key] == F.col("__quire_drop"), "left_anti")
+    """df with one row of each group of near duplicates, that of the least id; rows without an
+    id stay. Of rows that repeat an id, one stays."""
+    drop = near_duplicates(df, text, key, threshold).where("not kept").select(F.col(key).alias("__quire_drop"), (F.col(key) == F.col("group_id")).alias("__quire_same"))
+    drop = settled(drop.distinct())
+    out = df.join(drop.where("not __quire_same").select("__quire_drop"), df[key] == F.col("__quire_drop"), "left_anti")
+    again = drop.where("__quire_same").select("__quire_drop")
+    if again.isEmpty():
+        return out
+    hit = out[key] == F.col("__quire_drop")
+    return out.join(again, hit, "left_anti").unionByName(out.join(again, hit, "left_semi").dropDuplicates([key]))

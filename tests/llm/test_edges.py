@@ -60,10 +60,11 @@ def test_near_dedup(docs):
     if rows:
         by = {r.doc_id: r for r in rows}
         assert by[2].group_id == by[1].group_id == 1 and by[1].kept and not by[2].kept
-        assert all(by[k].kept and by[k].group_id == k for k in (3, 4, 5, 6, 7))
+        assert all(by[k].kept and by[k].group_id == k for k in (3, 4, 5, 6, 7)) and by[8].group_id == 8
         kept = deduplicate(docs)
         assert set(kept.columns) == set(docs.columns)
-        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8, 8]
+        assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 4, 5, 6, 7, 8]
+        assert sorted(r.kept for r in rows if r.doc_id == 8) == [False, True]
 
 
 def test_shards(docs):

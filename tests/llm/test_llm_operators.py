@@ -107,8 +107,9 @@ def test_similarity_is_weighted_jaccard():
     assert similarity("", None, weights) == 0
 
 
-def near_groups(texts):
-    """Groups by brute force over all pairs that share a shingle."""
+def near_groups(texts, weights=None):
+    """Groups by brute force over all pairs that share a shingle, weighed as in ``texts`` alone
+    or by the weights of the corpus that they are part of."""
     from quire.llm.icws import COUNTERS, Weights, counter_of, grouped, shingles, similarity
 
     ids = list(texts)
@@ -116,7 +117,7 @@ def near_groups(texts):
     for _, _, data, offsets in grouped(pa.array([texts[i] for i in ids], pa.string())):
         total += np.bincount(counter_of(shingles(data, offsets)[0]), minlength=COUNTERS)
     sets = shingle_sets(texts)
-    weights = Weights(total, len(sets))
+    weights = weights or Weights(total, len(sets))
     where = defaultdict(list)
     for i, s in sets.items():
         for k in s:
@@ -153,6 +154,62 @@ def test_near_duplicates_against_brute_force(spark, texts):
     assert {r.doc_id for r in rows if r.kept} == set(want.values())
 
 
+def joined(pairs, ids):
+    """The least id of each id's component."""
+    parent = {i: i for i in ids}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_near_duplicates_against_plain_python(spark, texts):
+    """TF-IDF and weighted Jaccard written out over dicts of word tuples with exact counts; the
+    operator's hashed counts may move a similarity by a few thousandths."""
+    from quire.llm.icws import near_duplicates
+
+    rng = random.Random(31)
+    own = {i: t for i, t in texts.items()}
+    base = [t for t in texts.values() if 100 < len(t.split()) < 500][:8]
+    for k, t in enumerate(base):
+        for j in range(14):
+            w = t.split()
+            for _ in range(round(len(w) * 0.004 * j)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(9999)}"
+            own[20_000 + 100 * k + j] = " ".join(w)
+    sets = shingle_sets(own)
+    df = Counter(g for s in sets.values() for g in s)
+    idf = {g: 1 + 0.5 * np.log(len(sets) / n) / np.log(len(sets)) for g, n in df.items()}
+    weight = {i: {g: (1 + np.log(n)) * idf[g] for g, n in s.items()} for i, s in sets.items()}
+    where = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            where[g].append(i)
+    sure, maybe, plain = [], [], []
+    for a, b in {(a, b) for ids in where.values() for k, a in enumerate(ids) for b in ids[k + 1 :]}:
+        x, y = weight[a], weight[b]
+        both = sum(min(x[g], y[g]) for g in x.keys() & y.keys())
+        value = both / (sum(x.values()) + sum(y.values()) - both)
+        if value >= 0.796:
+            maybe.append((a, b))
+        if value >= 0.804:
+            sure.append((a, b))
+        if len(x.keys() & y.keys()) >= 0.8 * len(x.keys() | y.keys()):
+            plain.append((a, b))
+    rows = near_duplicates(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.group_id for r in rows}
+    upper = joined(maybe, own)
+    assert len(sure) > 100 and all(got[a] == got[b] for a, b in sure)
+    assert all(upper[i] == upper[g] for i, g in got.items())
+    assert np.mean([got[a] == got[b] for a, b in plain]) >= 0.9
+
+
 def hub_and_spokes(n, rng, at=50_000):
     """A document and n copies of it, each with other edits, in which its id is in the middle."""
     hub = [f"h{rng.randrange(10**6)}" for _ in range(300)]
@@ -181,7 +238,7 @@ def test_near_duplicates_of_hub_and_spokes(spark, texts):
     rows = near_duplicates(spark.createDataFrame(list(own.items()), "doc_id long, text string")).collect()
     got = {r.doc_id: r.group_id for r in rows}
     assert {got[i] for i in spokes} == {min(spokes)}
-    assert {i: g for i, g in got.items() if i in texts} == near_groups(texts)
+    assert {i: g for i, g in got.items() if i in texts} == near_groups(texts, weights)
 
 
 def test_components_of_long_chain(spark):
