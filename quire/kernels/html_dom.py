@@ -9,6 +9,8 @@ import re
 import sys
 from collections.abc import Iterator
 
+from quire.kernels.html_tokens import END, START, TEXT, Scanner
+
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW_TEXT = frozenset("script style xmp iframe noembed noframes".split())
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
@@ -22,8 +24,9 @@ IMPLIED_END = frozenset("dd dt li optgroup option p rb rp rt rtc".split())
 BLOCKS = CLOSES_P | frozenset("html head body frameset script noscript style meta link title frame noframes ins del caption thead tfoot tbody colgroup col tr th td video audio canvas template svg math".split())
 #: Elements nested deeper than this become siblings, as in browsers; walks of the tree recur.
 DEEPEST = 256
+#: As many elements that were never closed are opened again in a later paragraph.
+REOPENED = 16
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 40 * DEEPEST))
-_TAG = re.compile(r"""<(?:!--(?:>|->|(?P<comment>.*?)(?:--!?>|\Z))|/(?P<end>[a-zA-Z][^\s/>]*)[^>]*>|(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<loose>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>|[!?/][^>]*>)""", re.S)
 _ATTR = re.compile(r"""([^\s"'<>/=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 
 
@@ -36,12 +39,11 @@ class Element:
         self.parent: Element | None = None
 
     def add(self, child: Element | str, before: Element | None = None) -> None:
-        at = next((k for k, c in enumerate(self.children) if c is before), len(self.children)) if before is not None else len(self.children)
+        at = len(self.children)
+        if before is not None:  # a table is near the end
+            at = next((k for k in range(at - 1, -1, -1) if self.children[k] is before), at)
         if isinstance(child, str):
-            if at and isinstance(self.children[at - 1], str):
-                self.children[at - 1] += child
-            else:
-                self.children.insert(at, child)
+            self.children.insert(at, child)
             return
         if child.parent is not None:
             child.remove()
@@ -50,9 +52,27 @@ class Element:
 
     def remove(self) -> None:
         if self.parent is not None:
-            self.parent.children = [c for c in self.parent.children if c is not self]
+            own = self.parent.children
+            del own[next(k for k in range(len(own) - 1, -1, -1) if own[k] is self)]
             self.parent = None
 
+    def join_texts(self) -> None:
+        """Neighbouring texts as one."""
+        own, out = self.children, []
+        run: list[str] = []
+        for c in own:
+            if isinstance(c, str):
+                run.append(c)
+            else:
+                if run:
+                    out.append("".join(run))
+                    run = []
+                out.append(c)
+        if run:
+            out.append("".join(run))
+        if len(out) < len(own):
+            self.children = out
+
     def elements(self) -> list[Element]:
         return [c for c in self.children if isinstance(c, Element)]
 
@@ -88,6 +108,12 @@ class Document:
         self.html.add(self.head)
         self.html.add(self.body)
 
+    def settle(self) -> None:
+        """Ends the building: texts that were added piece by piece become one."""
+        self.html.join_texts()
+        for e in self.html.descendants():
+            e.join_texts()
+
     def title(self) -> str:
         found = next((e for e in self.html.descendants() if e.tag == "title"), None)
         return found.text() if found is not None else ""
@@ -155,6 +181,8 @@ class Builder:
         while k and self.active[k - 1] is not None and self.active[k - 1] not in self.stack:
             k -= 1
         for j in range(k, len(self.active)):
+            if len(self.stack) == DEEPEST:
+                return
             old = self.active[j]
             self.active[j] = self.open(old.tag, dict(old.attrs))
 
@@ -167,6 +195,8 @@ class Builder:
                 same.append(x)
         if len(same) >= 3:
             self.active.remove(same[-1])
+        elif len(self.active) >= REOPENED and (own := self.since_mark()) and len(own) >= REOPENED:
+            self.active.remove(own[-1])
         self.active.append(e)
 
     def clear_active(self) -> None:
@@ -225,9 +255,9 @@ class Builder:
             else:
                 above.add(last)
             fresh = Element(f.tag, dict(f.attrs))
-            for c in list(far.children):
-                fresh.add(c)
-            far.children = []
+            fresh.children, far.children = far.children, []
+            for c in fresh.elements():
+                c.parent = fresh
             far.add(fresh)
             mark = min(mark, len(self.active))
             here = self.active.index(f)
@@ -296,7 +326,7 @@ class Builder:
             self.place(e)
             return e
         e = self.open(tag, attrs)
-        if tag in FORMATTING:
+        if tag in FORMATTING and self.stack[-1] is e:
             self.push_active(e)
         elif tag in ("applet", "marquee", "object"):
             self.active.append(None)
@@ -410,30 +440,23 @@ def attributes(raw: str) -> dict[str, str]:
 def parse(page: str) -> Document:
     """The document of a page; whatever the bytes, there is one."""
     b = Builder()
-    at, page = 0, page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "\ufffd")
-    if page.startswith("\ufeff"):
-        at = 1
-    while True:
-        m = _TAG.search(page, at)
-        if m is None:
-            b.characters(entities.unescape(page[at:]))
-            return b.doc
-        if m.start() > at:
-            b.characters(entities.unescape(page[at : m.start()]))
-        at = m.end()
-        if tag := m["start"] or m["loose"]:
-            tag = tag.lower()
-            raw = m["attrs"] if m["start"] else m["rest"]
+    page = page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "\ufffd")
+    scan = Scanner(page, 1 if page.startswith("\ufeff") else 0)
+    for kind, value, raw in scan:
+        tag = value.lower()
+        if kind == TEXT:
+            b.characters(entities.unescape(value))
+        elif kind == END:
+            b.end(tag)
+        elif kind == START:
             e = b.start(tag, attributes(raw) if raw else {})
             if tag in RAW_TEXT or tag in ("title", "textarea"):
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                inner = page[at : close.start()]
+                inner = scan.raw_text(tag)
                 if e is not None and inner:
                     e.add(inner if tag in RAW_TEXT else entities.unescape(inner))
-                at = close.end()
                 if b.stack and b.stack[-1] is e:
                     b.stack.pop()
-            elif tag == "pre" and page[at : at + 1] == "\n":
-                at += 1
-        elif m["end"]:
-            b.end(m["end"].lower())
+            elif tag == "pre" and page[scan.at : scan.at + 1] == "\n":
+                scan.at += 1
+    b.doc.settle()
+    return b.doc

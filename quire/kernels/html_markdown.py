@@ -11,6 +11,11 @@ from quire.kernels.model import BLANK, BLANK_LINES, escape_cell, pipe_table
 #: Elements that are no content; blocks that only set their content apart (fixed values).
 DROPPED = frozenset("script style noscript head title meta link svg".split())
 APART = frozenset("p div section article main header footer figure figcaption".split())
+#: Quotes nested deeper than this are set apart only: each level marks all lines below it.
+QUOTES = 32
+#: Tables within tables, beyond this many, are set apart only: a table holds the rows of all
+#: tables inside it, so that each level would double the text.
+TABLES = 4
 _SPACES = re.compile(r"[ \t\r\n\f]+")
 _GAPS = re.compile(r"\n{3,}")
 
@@ -28,6 +33,7 @@ class Writer:
 
     def __init__(self, base: str = "") -> None:
         self.base = base if urlsplit(base).scheme else ""
+        self.quotes = self.tables = 0
 
     def address(self, e: Element, name: str) -> str:
         raw = e.get(name)
@@ -114,12 +120,20 @@ class Writer:
         return f"\n\n{self.items(x, True)}\n\n"
 
     def on_blockquote(self, x: Element, as_is: bool) -> str:
+        if self.quotes == QUOTES:
+            return f"\n\n{self.inside(x, as_is)}\n\n"
+        self.quotes += 1
         lines = tidy(self.inside(x, as_is)).split("\n")
+        self.quotes -= 1
         return "\n\n" + "\n".join(f"> {t}" if t else ">" for t in lines) + "\n\n"
 
     def on_table(self, x: Element, as_is: bool) -> str:
+        if self.tables == TABLES:
+            return f"\n\n{self.inside(x, as_is)}\n\n"
+        self.tables += 1
         rows = ([c for c in tr.elements() if c.tag in ("td", "th")] for tr in x.descendants() if tr.tag == "tr")
         table = pipe_table([[escape_cell(self.inline(c)) for c in r] for r in rows if r])
+        self.tables -= 1
         return f"\n\n{table}\n\n" if table else ""
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from quire.kernels.html_dom import Document, Element, parse
@@ -54,15 +55,23 @@ def has_any(text: str, parts: list[str]) -> bool:
 
 def prune(body: Element) -> None:
     """Takes out, from the top down, what can't be an article by its tag or its names."""
-    open_ = [body]
+    keep_children(body, lambda c: c.tag == "a" or c.tag not in STRIPPED and not unlikely(c))
+
+
+def unlikely(e: Element) -> bool:
+    own = names(e, "class", "id", "role")
+    return has_any(own, UNLIKELY) and not has_any(own, MAYBE)
+
+
+def keep_children(root: Element, wanted: Callable[[Element], bool]) -> None:
+    """Takes the elements below root that aren't wanted out of the tree, with all they hold."""
+    open_ = [root]
     while open_:
-        for c in open_.pop().elements():
-            if c.tag != "a":
-                own = names(c, "class", "id", "role")
-                if c.tag in STRIPPED or has_any(own, UNLIKELY) and not has_any(own, MAYBE):
-                    c.remove()
-                    continue
-            open_.append(c)
+        e = open_.pop()
+        own = [c for c in e.children if isinstance(c, str) or wanted(c)]
+        if len(own) < len(e.children):
+            e.children = own
+        open_ += e.elements()
 
 
 def base_score(e: Element) -> float:
@@ -209,9 +218,7 @@ def readable(page: str) -> Readable:
     if hit := article(parse(page)):
         return hit[1]
     doc = parse(page)
-    for e in list(doc.body.descendants()):
-        if fallback_removed(e):
-            e.remove()
+    keep_children(doc.body, lambda e: not fallback_removed(e))
     text = doc.body.text()
     return Readable(
         first_meta(doc, "og:title", "twitter:title") or cleaned(doc.title()) or "",

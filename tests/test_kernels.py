@@ -341,3 +341,32 @@ def test_ocr():
     for info, engine in ((Info(ocr=False), lambda data: [boxes]), (INFO, None)):
         with pytest.raises(NotAccepted):
             ocr.convert_image(b"x", info, engine)
+
+
+def test_hard_pages_take_linear_time():
+    import time
+
+    from quire.kernels.html_dom import parse
+    from quire.kernels.html_markdown import page_markdown
+
+    n = 40_000
+    pages = ["<a " * n, "<a " * n + ">", "</a " * n, '<a ">"' * n, "<a '" * n, "<! " * n, "a<!---->" * n, "<" * n, "<script>" + "</script " * n]
+    pages += ["<div>" * 100_000 + "x", "<blockquote>" * n, "<ul><li>" * n, "<b>x" * n, "<table>" + "<i>x</i>" * n, "<table><tr><td>" * 2000]
+    pages.append("".join(f"<p><font a={k}>x" for k in range(n // 4)))
+    for page in pages:
+        start = time.process_time()
+        parse(page)
+        assert time.process_time() - start < 20, page[:20]
+    start = time.process_time()
+    parse("<a " * 350_000)
+    assert time.process_time() - start < 3
+    assert page_markdown("<table><tr><td>a" * 12)[1]
+
+
+def test_scanner_keeps_quotes_and_loose_tags():
+    from quire.kernels.html_tokens import END, START, TEXT, Scanner
+
+    assert list(Scanner('a <b x="1>2" y=\'<\'>c</b >d')) == [(TEXT, "a ", ""), (START, "b", ' x="1>2" y=\'<\''), (TEXT, "c", ""), (END, "b", ""), (TEXT, "d", "")]
+    assert list(Scanner('<a title="x>y')) == [(START, "a", ' title="x'), (TEXT, "y", "")]
+    assert list(Scanner("1 < 2 <!-- <b> --> 3 <x")) == [(TEXT, "1 < 2 ", ""), (TEXT, " 3 <x", "")]
+    assert list(Scanner('<a x=">"<p>"')) == [(START, "a", ' x=">"<p'), (TEXT, '"', "")]
