@@ -6,20 +6,24 @@ below it; the composite density is characters per tag, adjusted by the share of
 the number of link tags. A node's density sum is that of its children. The node of the largest
 sum is taken; the least density on the path from it to the body is the threshold, and in every
 subtree whose density reaches the threshold the descendant-or-self of largest sum is content.
-A content node inside an article or main element stands for all of that element, so that
-headings and short sections of an article stay.
+What lies beside a content node in one parent belongs to it as well (headings, short or nested
+sections) where that parent is part of an article or main element, or where, by density, the
+parent's other text is plain and less than the node's; the body itself is never taken for that.
 
 Elements that can't be article text are set aside before densities are computed: menus, page
 headers, footers, sidebars, forms, scripts, styles, and elements whose class, id or role names
 an advert, notice, menu, sidebar, form, or reader comments. A class or id such as has-sidebar
 names a layout. A name alone doesn't set aside an element that holds the page's main element, all
-its articles or most of its text, and inside an article an id, or a part of a class that is an
-ordinary word, does so only where the text is mostly links or list items.
+its articles or most of its text, and inside an article an id, or a class or part of one that is
+an ordinary word, does so only where the text is mostly links or list items.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks
 are trimmed and joined by a blank line in page order; a line break counts as white space.
-Defined results: null, empty and content-free pages give ''. Depth of nesting isn't limited;
-nothing is cut. Columns of df with the output's name are replaced.
+Defined results: null, empty and content-free pages give ''. Malformed pages give the text of
+what can be told apart; time grows with a page's length only, depth of nesting isn't limited
+and nothing is cut, so that pages of megabytes are fine. Of nodes of equal density sum the
+outermost, then first, is taken; repeated rows have equal results; an empty table gives no
+rows. Columns of df with the output's name are replaced.
 """
 
 from __future__ import annotations
@@ -27,11 +31,14 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.kernels.html_tokens import END, START, TEXT, Scanner
 from quire.llm.common import bounded_batches
 
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
@@ -64,11 +71,12 @@ UNLIKE = re.compile(
 UNLIKE_TOP = re.compile(r"(?:^|\s)(?:header|site-?header|top-?bar|top-?header)(?:$|\s)", re.I)
 #: Class and id tokens of these beginnings tell what a layout has.
 MODIFIER = re.compile(r"(?:has|no|with|without|hide|show)[-_]", re.I)
-#: Ids of reader comments, and ordinary words that article sections are named by as well.
+#: Ids of reader comments; ordinary words that article sections are named by as well, in part
+#: of a class, and those which don't tell even as a whole one.
 THREAD = re.compile(r"comments?(?:[-_](?:section|area|list))?|commentlist|disqus(?:_thread)?|respond", re.I)
 ORDINARY = frozenset("notice notices notification alert overlay side reply replies respond discussion share sharing social related search form legal copyright skip subscription consent login menu comment banner".split())
+PLAIN_WORDS = frozenset("overlay side discussion related search form legal copyright skip menu reply replies respond".split())
 UNLIKE_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
-TOKEN = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|([a-zA-Z][^\s/>]*)([^>]*)>|/([a-zA-Z][^\s/>]*)[^>]*>|[!?/][^>]*>)""", re.S)
 NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -95,7 +103,7 @@ def token_names(token: str, attribute: str, within_article: bool) -> str:
         return "surely"
     hits = {w.lower() for w in re.split(r"[-_]", token) if UNLIKE.search(w)}
     whole = attribute == "class" and len(re.split(r"[-_]", token)) == 1
-    return "maybe" if attribute == "id" or hits <= ORDINARY and not whole else "surely"
+    return "maybe" if attribute == "id" or hits <= (PLAIN_WORDS if whole else ORDINARY) else "surely"
 
 
 def unlike(tag: str, attributes: str, within_article: bool) -> tuple[bool, str]:
@@ -152,66 +160,80 @@ def set_aside(nodes: list[Node]) -> None:
                 n.aside = not plain or plain <= (0.9 if n.named == "thread" else 0.5) * (text[0] - links[0])
 
 
+class Open:
+    """The open elements, with the places of each tag among them, so that none is searched for."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        for name in self.names(node.tag):
+            self.places[name].append(len(self.nodes))
+        self.nodes.append(node)
+
+    @staticmethod
+    def names(tag: str) -> list[str]:
+        return [tag] + ["#p"] * (tag in P_SCOPE) + ["#end"] * (tag in END_SCOPE)
+
+    def last(self, *names: str) -> int:
+        """The innermost place of any of the names; 0 if there's none."""
+        return max(own[-1] if (own := self.places.get(n)) else 0 for n in names)
+
+    def cut(self, k: int) -> None:
+        """Closes the elements from place k on."""
+        for node in self.nodes[k:]:
+            for name in self.names(node.tag):
+                self.places[name].pop()
+        del self.nodes[k:]
+
+    def begin(self, tag: str) -> None:
+        """Closes what a start tag ends."""
+        if tag in BLOCK and (k := self.last("p")) > self.last("#p"):
+            self.cut(k)
+        if tag in IMPLIED:
+            ends, scope = IMPLIED[tag]
+            after = self.last(*scope)
+            found = [own[k] for t in ends if (own := self.places.get(t)) and (k := bisect_right(own, after)) < len(own)]
+            if found:
+                self.cut(min(found))
+
+    def end(self, tag: str) -> None:
+        k = self.last(tag)
+        if k and (tag in END_SCOPE or k > self.last("#end")):
+            self.cut(k)
+
+
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The tree, and its nodes in page order."""
     root = Node("html", None, False, False)
-    nodes, stack, at = [root], [root], 0
-    while True:
-        m = TOKEN.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
-            stack[-1].parts.append(page[at:end])
-        if not m:
-            set_aside(nodes)
-            return root, nodes
-        at = m.end()
-        tag = (m[1] or m[3] or "").lower()
-        if tag:
-            if tag == "html" or tag == "body" and any(n.tag == "body" for n in stack):
+    nodes, stack, scan = [root], Open(root), Scanner(page)
+    for kind, value, attributes in scan:
+        if kind == TEXT:
+            stack.nodes[-1].parts.append(value)
+            continue
+        tag = value.lower()
+        if kind == START:
+            if tag == "html" or tag == "body" and stack.last("body"):
                 continue
-            if tag in BLOCK:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == "p":
-                        del stack[k:]
-                        break
-                    if stack[k].tag in P_SCOPE:
-                        break
-            if tag in IMPLIED:
-                ends, scope = IMPLIED[tag]
-                cut = 0
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag in ends:
-                        cut = k
-                    elif stack[k].tag in scope:
-                        break
-                if cut:
-                    del stack[cut:]
-            above = stack[-1]
-            within = above.kept or tag in ("article", "main")
-            never, named = unlike(tag, m[2] or m[4] or "", above.kept)
-            node = Node(tag, above, above.aside or never, within)
+            stack.begin(tag)
+            above = stack.nodes[-1]
+            never, named = unlike(tag, attributes, above.kept)
+            node = Node(tag, above, above.aside or never, above.kept or tag in ("article", "main"))
             node.named = named
             above.children.append(node)
             above.parts.append(node)
             nodes.append(node)
             if tag in RAW:
-                close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                to = close.start() if close else len(page)
+                text = scan.raw_text(tag)
                 if tag == "textarea":
-                    node.parts.append(page[at:to])
-                at = close.end() if close else len(page)
-            elif tag not in VOID and not ((m[2] or m[4] or "").endswith("/") and tag in ("svg", "math", "path")):
-                stack.append(node)
-        elif m[5]:
-            tag = m[5].lower()
-            if tag in ("html", "body"):
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                if stack[k].tag in END_SCOPE and tag not in END_SCOPE:
-                    break
+                    node.parts.append(text)
+            elif tag not in VOID and not (attributes.endswith("/") and tag in ("svg", "math", "path")):
+                stack.push(node)
+        elif kind == END and tag not in ("html", "body"):
+            stack.end(tag)
+    set_aside(nodes)
+    return root, nodes
 
 
 def measure(nodes: list[Node]) -> None:
@@ -244,6 +266,25 @@ def measure(nodes: list[Node]) -> None:
             n.parent.total += n.density
 
 
+def lifted(pick: Node, body: Node, known: dict[int, Node]) -> Node:
+    """The node that stands for a content node and what belongs to it; ``known`` keeps results
+    of earlier climbs."""
+    path = []
+    n = pick
+    while id(n) not in known and n.parent is not None and n is not body and n.parent is not body:
+        up = n.parent
+        rest, links = up.chars - n.chars, up.link_chars - n.link_chars
+        inside = n.kept and n.tag not in ("article", "main")
+        if not inside and (up.tag == "html" or rest > 0.5 * n.chars or 3 * links > rest or n.kept):
+            break
+        path.append(n)
+        n = up
+    out = known.get(id(n), n)
+    for x in path:
+        known[id(x)] = out
+    return out
+
+
 def content(root: Node, nodes: list[Node]) -> list[Node]:
     """The elements that hold the main text, in page order."""
     measure(nodes)
@@ -257,30 +298,27 @@ def content(root: Node, nodes: list[Node]) -> list[Node]:
     while n is not body and n.parent is not None:
         n = n.parent
         threshold = min(threshold, n.density)
-    marked: set[int] = set()
-    out: list[Node] = []
+    chosen: dict[int, Node] = {}
+    known: dict[int, Node] = {}
     open_ = [body]
     while open_:
         n = open_.pop()
         if n.aside or n.density < threshold:
             continue
-        pick = n.best if n.best_total else n
-        while pick.kept and pick.tag not in ("article", "main") and pick.parent is not None:
-            pick = pick.parent
-        if id(pick) not in marked:
-            marked.add(id(pick))
-            out.append(pick)
+        pick = lifted(n.best if n.best_total else n, body, known)
+        chosen[id(pick)] = pick
         open_ += reversed(n.children)
-    chosen = {id(n) for n in out}
-    places = {id(n): k for k, n in enumerate(nodes)}
-
-    def covered(n: Node) -> bool:
-        while (n := n.parent) is not None:
-            if id(n) in chosen:
-                return True
-        return False
-
-    return sorted((n for n in out if not covered(n)), key=lambda n: places[id(n)])
+    # nodes stand in page order, so that a subtree is a run of them
+    out, last = [], {id(n): k for k, n in enumerate(nodes)}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            last[id(n.parent)] = max(last[id(n.parent)], last[id(n)])
+    end = -1
+    for k, n in enumerate(nodes):
+        if id(n) in chosen and k > end:
+            out.append(n)
+            end = last[id(n)]
+    return out
 
 
 def blocks(node: Node, out: list[str]) -> None:

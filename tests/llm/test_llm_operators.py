@@ -434,6 +434,94 @@ def test_main_text_under_names_of_layouts_and_sections():
     assert main_text(f'<body><article><p>{one}</p><p>{two}</p><div id="related">{links}</div><div class="ad">Buy this</div></article>') == f"{one}\n\n{two}"
 
 
+def test_densities_against_plain_recursion():
+    """Composite densities of random trees, counted by walking each node's whole subtree."""
+    import math
+
+    from quire.llm.text_density import content, measure, parse
+
+    rng = random.Random(8)
+
+    def tree(depth):
+        tag = rng.choice(["div", "div", "span", "a", "em"]) if depth else rng.choice(["em", "span", "a"])
+        parts = [rng.choice(["", "x" * rng.randint(1, 40)])]
+        for _ in range(rng.randint(0, 3) if depth else 0):
+            parts += [tree(depth - 1), "y" * rng.randint(0, 9)]
+        return tag, parts
+
+    def html(n):
+        return n if isinstance(n, str) else f"<{n[0]}>{''.join(map(html, n[1]))}</{n[0]}>"
+
+    def walk(n):
+        yield n
+        for c in n[1]:
+            if not isinstance(c, str):
+                yield from walk(c)
+
+    def letters(n, linked=False):
+        own = linked or n[0] == "a"
+        whole = [(len(c), own) if isinstance(c, str) else None for c in n[1]]
+        out = [w for w in whole if w]
+        for c in n[1]:
+            if not isinstance(c, str):
+                out += letters(c, own)
+        return out
+
+    for _ in range(200):
+        page = ("body", [tree(3), tree(3), tree(2)])
+        root, nodes = parse(html(page))
+        measure(nodes)
+        body = next(n for n in nodes if n.tag == "body")
+        got = [n for n in nodes if n is not root]
+        plain = list(walk(page))
+        assert [n.tag for n in got] == [n[0] for n in plain]
+        share = sum(c for c, linked in letters(page) if linked) / max(1, sum(c for c, _ in letters(page)))
+        density = {}
+        for n in plain:
+            chars = sum(c for c, _ in letters(n))
+            links = sum(c for c, linked in letters(n) if linked)
+            tags, link_tags = len(list(walk(n))) - 1, sum(x[0] == "a" for x in walk(n)) - (n[0] == "a")
+            odds = chars / max(1, links) * max(1, tags) / max(1, link_tags)
+            base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+            density[id(n)] = chars / max(1, tags) * math.log(max(odds, 1)) / math.log(max(base, 2)) if chars else 0
+        total = {id(n): sum(density[id(c)] for c in n[1] if not isinstance(c, str)) for n in plain}
+        for a, b in zip(got, plain):
+            assert a.density == pytest.approx(density[id(b)]) and a.total == pytest.approx(total[id(b)])
+        assert body.best.total == pytest.approx(max(total.values()))
+        picked = {id(n) for n in content(*parse(html(page)))}
+        assert picked or not body.chars
+
+
+def test_main_text_without_article_elements():
+    from quire.llm.text_density import main_text
+
+    one, two = "First paragraph of the story, which is long enough to count as text.", "Second paragraph of the same story, which is long enough too."
+    links = "".join(f"<li><a href={k}>Another story {k}</a></li>" for k in range(12))
+    top = "<div class=a1><a href=1>Home</a> <a href=2>World</a> <a href=3>Sport</a></div>"
+    want = f"A title\n\n{one}\n\nPart two\n\n{two}\n\nEnd."
+    parts = f"<h1>A title</h1><div class=p1><p>{one}</p></div><h2>Part two</h2><div class=p2><p>{two}</p><p>End.</p></div>"
+    assert main_text(f"<body>{top}<div class=x><div class=story>{parts}</div></div><div class=b1><ul>{links}</ul></div></body>") == want
+    assert main_text(f"<body>{top}<div class=x>{parts}</div><div class=b1><ul>{links}</ul></div></body>") == want
+    inside = f'<article><h1>A title</h1><p>{one}</p><section class="related-work"><h2>Part two</h2><p>{two}</p></section><p class="legal">End.</p></article>'
+    assert main_text(f"<body>{top}{inside}<div><ul>{links}</ul></div></body>") == want
+
+
+def test_main_text_of_hard_pages_takes_linear_time():
+    import time
+
+    from quire.llm.text_density import main_text
+
+    n = 40_000
+    pages = ["<a " * n, "<a " * n + ">", '<a ">"' * n, "<a '" * n, "<blockquote>" * 100_000 + "x", "<p><div>" * n, "<div><li>x" * n, "<b>" * n + "</x>" * n, "<article>" + "<div>aa bb" * n, "<table><tr><td>x" * n, '<div class="related comments legal">x' * n]
+    for page in pages:
+        start = time.process_time()
+        main_text(page)
+        assert time.process_time() - start < 15, page[:20]
+    start = time.process_time()
+    assert main_text("<a " * 350_000).startswith("<a <a")
+    assert time.process_time() - start < 2
+
+
 # --- FM-index -------------------------------------------------------------------------------
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
