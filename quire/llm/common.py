@@ -16,12 +16,16 @@ _INVERSE = pow(BASE, -1, 1 << 64)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it in spark.checkpoint.dir;
-    where it is unset (a local run, tests) a temporary one is made and set."""
+    where it is unset, that of the context, or, if the master is local (tests), a temporary one
+    that is made and set. A cluster without such a folder is refused: executors couldn't see
+    each other's files."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
     sc = spark.sparkContext._jsc.sc()
     if not sc.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
     return sc.getCheckpointDir().get()
 
@@ -37,10 +41,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def store_of(spark: SparkSession, path: str):
+    """The JVM's path and the file system that holds it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = store_of(spark, path)
+    return store.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path made by scratch()."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    at, store = store_of(spark, path)
+    store.delete(at, True)
 
 
 def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:

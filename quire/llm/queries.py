@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch, settled, table
+from quire.llm.common import remove, scratch, settled, table
 
 
 def tokenizer(name: str) -> str:
@@ -74,18 +74,15 @@ def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.bpe import PATTERN
-    from quire.llm.token_files import token_counts, write_token_files
+    from quire.llm.token_files import part_of, read_index, token_counts, write_token_files
 
-    docs = table(spark, sf_dir, "documents")
-    # Both reads of the table have the same partitions and row order; a row's number is its
-    # partition's in the upper bits and its place in the file in the lower 33.
-    order = settled(docs.select("doc_id").withColumn("_n", F.monotonically_increasing_id()))
-    order = order.select("doc_id", F.shiftright("_n", 33).alias("part"), F.expr("_n & 8589934591").alias("document"))
     flat = scratch(spark, "tokens")
-    write_token_files(docs, flat, tokenizer("byte_bpe_50k.tiktoken"), PATTERN, end=50256)
-    counts = token_counts(spark, flat, end=50256)
-    counts = counts.withColumn("part", F.regexp_extract("file", r"part-(\d+)", 1).cast("long"))
-    return order.join(counts, ["part", "document"], "left").select("doc_id", "n_tokens", "ended")
+    write_token_files(table(spark, sf_dir, "documents").select("doc_id", "text"), flat, tokenizer("byte_bpe_50k.tiktoken"), PATTERN, end=50256)
+    counts = token_counts(spark, f"{flat}/kind=ids", end=50256).withColumn("part", part_of(F.col("file")))
+    out = read_index(spark, flat, end=50256).join(counts, ["part", "document"], "left")
+    out = settled(out.select(F.col("key").cast("long").alias("doc_id"), "n_tokens", "ended"))
+    remove(spark, flat)
+    return out
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import settled
+from quire.llm.common import exists, settled
 
 
 @dataclass(frozen=True)
@@ -94,8 +94,7 @@ def read_ledger(spark: SparkSession, path: str, version: str, without: str | Non
     """The blobs that are scanned at a rule version; ``without`` leaves out a run. A blob may
     stand there more than once, if runs were at work at the same time."""
     at = f"{path}/rule_version={version}"
-    where = spark._jvm.org.apache.hadoop.fs.Path(at)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    if not exists(spark, at):
         return spark.createDataFrame([], LEDGER)
     found = spark.read.option("basePath", at).schema(f"{LEDGER}, run string").parquet(at)
     return found.where(F.col("run") != without if without else F.lit(True)).drop("run")

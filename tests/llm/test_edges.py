@@ -124,12 +124,18 @@ def test_decontamination(spark, docs):
 
 def test_token_files(spark, docs, tokenizer, tmp_path):
     from quire.llm.bpe import PATTERN
-    from quire.llm.token_files import token_counts, write_token_files
+    from quire.llm.token_files import part_of, read_index, token_counts, write_token_files
 
     out = str(tmp_path / "flat")
     write_token_files(docs, out, tokenizer("byte_bpe_50k.tiktoken"), PATTERN, 50256)
-    rows = token_counts(spark, out, 50256, block_bytes=64).collect()
-    assert len(rows) == count(docs) and all(r.ended for r in rows)
+    rows = token_counts(spark, f"{out}/kind=ids", 50256, block_bytes=64)
+    assert rows.count() == count(docs) and all(r.ended for r in rows.collect())
+    named = rows.withColumn("part", part_of(rows["file"])).join(read_index(spark, out, 50256), ["part", "document"]).collect()
+    if not count(docs):
+        assert not named and not rows.collect()
+        return
+    assert sorted((r.key or "") for r in named) == sorted("" if i is None else str(i) for i, _ in ROWS)
+    assert {r.key: r.n_tokens for r in named}["3"] == 0 and {r.key: r.n_tokens for r in named}["8"] == 1
 
 
 def test_html(docs):

@@ -362,6 +362,44 @@ def test_token_counts_stitch_blocks(spark, tmp_path, width, block):
     assert {k: sorted(v) for k, v in found.items()} == want
 
 
+def test_large_files_are_read_by_ranges(spark, tmp_path, monkeypatch):
+    from quire.llm import token_files
+
+    sizes = [random.Random(k).randrange(60) for k in range(300)]
+    ids = [x for n in sizes for x in [*([5] * n), 9]]
+    (tmp_path / "a b").write_bytes(np.array(ids, "<u2").tobytes() + b"x")
+    (tmp_path / "small").write_bytes(np.array([1, 9, 2], "<u2").tobytes())
+    monkeypatch.setattr(token_files, "RANGED", 1000)
+    rows = token_files.token_counts(spark, str(tmp_path), 9, 2, 64).collect()
+    large = sorted((r.document, r.n_tokens) for r in rows if r.ragged)
+    assert large == list(enumerate(sizes)) and sorted((r.document, r.n_tokens, r.ended) for r in rows if not r.ragged) == [(0, 1, True), (1, 1, False)]
+
+
+@pytest.mark.parametrize("end", [50256, 0x4130])
+def test_registered_token_counts(spark, documents, texts, tmp_path, end):
+    """Counts of each document as the library encodes it, whatever the end id's bytes."""
+    import tiktoken  # noqa: F401
+
+    from quire.llm.bpe import PATTERN
+    from quire.llm.queries import op6_token_files, tokenizer
+    from quire.llm.token_files import coder, part_of, read_index, token_counts, write_token_files
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    want = {i: len(coder(path, PATTERN).encode_ordinary(t or "")) for i, t in texts.items()}
+    if end == 50256:
+        rows = op6_token_files(spark, SF).collect()
+        assert {r.doc_id: r.n_tokens for r in rows} == want and len(rows) == len(want) and all(r.ended for r in rows)
+    out = str(tmp_path / "flat")
+    write_token_files(documents.repartition(5), out, path, PATTERN, end)
+    counts = token_counts(spark, f"{out}/kind=ids", end)
+    named = counts.withColumn("part", part_of(counts["file"])).join(read_index(spark, out, end), ["part", "document"]).collect()
+    if end == 50256:
+        assert {int(r.key): r.n_tokens for r in named} == want
+    else:  # an id that texts hold as well: documents fall apart, but the index is whole
+        keys = [int(r.key) for r in read_index(spark, out, end).collect()]
+        assert sorted(keys) == sorted(want)
+
+
 # --- secrets --------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
