@@ -1,24 +1,31 @@
 """PII: surrogate generation, in DataFrame operations only.
 
-Entities are found by one regular expression: e-mail addresses, payment cards, phone numbers,
-social security numbers, IBANs, IPv4 addresses and names after a title. An entity's surrogate
-is drawn by SHA-256 under a secret key from its type and normal form, so that the same entity
-has the same surrogate wherever it stands (coreference) and nothing else leads back to it:
+Entities are found by one regular expression: e-mail addresses, payment cards, phone numbers
+(international, North American, and the national forms 06 12 34 56 78 and 030 1234567), social
+security numbers, IBANs, IPv4 and IPv6 addresses, and names: one to three capitalised words
+after a title, or one or two after a common given name (FIRST). Where a text names someone, the
+words of the name are found everywhere else in it as well. Names without either aren't found.
+An entity's surrogate is drawn by SHA-256 under a secret key from its type and normal form, so
+that the same entity has the same surrogate wherever it stands (coreference) and nothing else
+leads back to it:
 
 * characters keep their class: digits, and letters of the Latin, Cyrillic or Greek script in
   either case; punctuation stays. Host names keep their labels' form under example.com;
-  address octets stay below 256; a phone's country code stays, as do an IBAN's country and a
-  card's Luhn validity;
-* a name after a title has given names of the title's gender and the name's script, and a
-  surname; both are mapped word by word, so "Ms. Ada Byron" and "Ms. Byron" agree.
+  address octets stay below 256; a phone's country code or trunk prefix stays, as do an IBAN's
+  country, and the validity of a card's and an IBAN's check digits;
+* given names keep their gender, by the title or the name itself, and their script; surnames
+  their script. Names are mapped word by word, so "Ms. Ada Byron", "Ms. Byron" and "Ada" agree.
 
 Collision checks: the distinct entities of the corpus are counted by surrogate; where two have
 the same one, or one equals an entity that occurs, all but the least entity draw again
 (attempt 1, 2, ...) until every surrogate is distinct. Only these redrawn entities, if any,
 are joined back, by document.
 
-Defined results: null stays null, empty stays empty; a text without entities stays as it is.
-Columns of df with an output's name are replaced.
+Defined results: null stays null, empty stays empty; a text without entities stays as it is,
+whatever its length; long texts are searched whole. Rows that repeat have equal results, as
+have equal texts under different, null or repeated keys. Of entities that clash, the one of the
+lowest kind and normal form keeps its surrogate. An empty table gives no rows. Columns of df
+with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +36,14 @@ from pyspark.sql import functions as F
 from quire.llm.common import settled
 
 _MALE = "Mr|Sir|Herr|Monsieur|Señor|Sr|Signor|Господин|Κύριος"
-_FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Señora|Señorita|Sra|Signora|Госпожа|Κυρία"
+_FEMALE = "Mrs|Ms|Miss|Madam|Frau|Madame|Mademoiselle|Mme|Mlle|Señora|Señorita|Sra|Signora|Госпожа|Κυρία"
+_EITHER = "Dr|Prof"
+_TITLE = f"{_MALE}|{_FEMALE}|{_EITHER}"
+#: Common given names, which begin a name without a title.
+FIRST = {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Anthony Hans Jürgen Klaus Wolfgang Stefan Pierre Jean Jacques François José Juan Carlos Miguel Luis Giovanni Giuseppe Иван Сергей Дмитрий Алексей Николай Γιώργος Δημήτρης Νίκος".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Emily Anna Ursula Monika Petra Sabine Marie Isabelle Nathalie Sophie María Carmen Ana Isabel Giulia Francesca Мария Ольга Елена Наталья Татьяна Μαρία Ελένη Κατερίνα".split(),
+}
 _NAME = r"\p{Lu}[\p{L}]+(?:-\p{Lu}\p{L}+)?"
 #: By type, in the order in which they are tried at a place.
 PATTERNS = {
@@ -38,12 +52,14 @@ PATTERNS = {
     "card": r"(?<![0-9-])(?<![0-9]\.)(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{1,3})?(?![0-9])|(?<![0-9-])(?<![0-9]\.)[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ip": r"(?<![0-9A-Za-z])(?<![0-9]\.)(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
-    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
-    "name": rf"(?<!\p{{L}})(?:{_MALE}|{_FEMALE})\.? {_NAME}(?: {_NAME}){{0,2}}",
+    "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
+    "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
+    r"|(?<![0-9.,-])[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9-])|(?<![0-9.,-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})(?![ .-]?[0-9])|(?<![0-9.,-])0[1-9][0-9]{1,3}[ /][0-9]{6,8}(?![0-9])",
+    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{'|'.join(FIRST['m'] + FIRST['f'])})(?: {_NAME}){{1,2}})(?!\p{{L}})",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: One of these characters or words stands in every entity.
-HINT = r"[0-9@]|" + f"(?:{_MALE}|{_FEMALE})[. ]"
+HINT = r"[0-9@]|::|" + f"(?:{'|'.join([_TITLE, *FIRST['m'], *FIRST['f']])})[. ]"
 
 #: Surrogate given names by script and gender; surnames are built from syllables.
 GIVEN = {
@@ -161,24 +177,47 @@ def card_surrogate(entity: Column, seed: Column) -> Column:
 
 
 def phone_surrogate(entity: Column, seed: Column) -> Column:
-    code = F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])|^\+(?:1|7|[2-9][0-9])", 0)
+    code = F.regexp_extract(entity, r"^\+[0-9]{1,3}(?=[ .(-])|^\+(?:1|7|[2-9][0-9])|^0[1-9]", 0)
     rest = F.substring(entity, F.char_length(code) + 1, F.char_length(entity))
     return F.concat(code, with_digits(rest, digits_drawn(F.char_length(F.regexp_replace(rest, "[^0-9]", "")), seed)))
 
 
+def check_97(plain: Column) -> Column:
+    """The two check digits that belong to an IBAN, as a number."""
+    moved = F.concat(F.substring(plain, F.lit(5), F.char_length(plain)), F.substring(plain, 1, 2), F.lit("00"))
+    digits = F.filter(F.split(moved, ""), lambda c: c != "")
+    rest = F.aggregate(digits, F.lit(0), lambda a, c: F.when(c.rlike("[0-9]"), a * 10 + c.cast("int")).otherwise(a * 100 + F.ascii(c) - 55) % 97)
+    return 98 - rest
+
+
 def iban_surrogate(entity: Column, seed: Column) -> Column:
     plain = F.regexp_replace(entity, " ", "")
-    out = F.concat(F.substring(plain, 1, 2), same_form(F.substring(plain, F.lit(3), F.char_length(plain)), seed))
+    fresh = F.concat(F.substring(plain, 1, 2), F.lit("00"), same_form(F.substring(plain, F.lit(5), F.char_length(plain)), seed))
+    valid = check_97(plain) % 97 == F.substring(plain, 3, 2).cast("int") % 97
+    check = F.when(valid, check_97(fresh)).otherwise((check_97(fresh) + 1 + at(seed, F.lit(60)) % 95) % 97)
+    out = F.concat(F.substring(plain, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(fresh, F.lit(5), F.char_length(plain)))
     return F.when(entity.contains(" "), F.regexp_replace(out, "(.{4})(?=.)", "$1 ")).otherwise(out)
 
 
+def ip6_surrogate(entity: Column, seed: Column) -> Column:
+    """Other groups of as many digits; those that begin with 0 keep it, so that none is longer."""
+
+    def one(c: Column, i: Column) -> Column:
+        digit = F.substring(F.lit("123456789abcdef"), (at(seed, i) % 15 + 1).cast("int"), F.lit(1))
+        return F.when(c.isin(":", "0"), c).otherwise(F.when(c.rlike("[A-F]"), F.upper(digit)).otherwise(digit))
+
+    return F.array_join(F.transform(F.filter(F.split(entity, ""), lambda c: c != ""), one), "")
+
+
 def word_surrogate(word: Column, kind: Column, seed: Column) -> Column:
     """A surname of four syllables, or a given name and a part of three syllables, which
     widens what can be drawn."""
     out = F.lit("")
     for script, syllables in SYLLABLES.items():
         part = [pick(syllables, at(seed, F.lit(k))) for k in range(4)]
-        given = F.when(kind == "given_f", pick(GIVEN[script, "f"], at(seed, F.lit(0)))).otherwise(pick(GIVEN[script, "m"], at(seed, F.lit(0))))
+        n = at(seed, F.lit(0))
+        either = F.when(n % 2 == 0, pick(GIVEN[script, "f"], F.floor(n / 2))).otherwise(pick(GIVEN[script, "m"], F.floor(n / 2)))
+        given = F.when(kind == "given_f", pick(GIVEN[script, "f"], n)).when(kind == "given_m", pick(GIVEN[script, "m"], n)).otherwise(either)
         full = F.when(kind == "surname", F.initcap(F.concat(*part))).otherwise(F.concat(given, F.lit("-"), F.initcap(F.concat(*part[1:]))))
         out = F.when(script_of(word) == script, full).otherwise(out)
     return F.when((F.char_length(word) > 1) & (F.upper(word) == word), F.upper(out)).otherwise(out)
@@ -189,6 +228,7 @@ def surrogate(kind: Column, form: Column, seed: Column) -> Column:
         F.when(kind == "email", email_surrogate(form, seed))
         .when(kind == "card", card_surrogate(form, seed))
         .when(kind == "ip", ip_surrogate(form, seed))
+        .when(kind == "ip6", ip6_surrogate(form, seed))
         .when(kind == "phone", phone_surrogate(form, seed))
         .when(kind == "ssn", with_digits(form, digits_drawn(F.lit(9), seed)))
         .when(kind == "iban", iban_surrogate(form, seed))
@@ -196,22 +236,51 @@ def surrogate(kind: Column, form: Column, seed: Column) -> Column:
     )
 
 
-def mentions(text: Column) -> Column:
-    """The entities of a text in order, as they stand: structs of form and kind."""
-    found = F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(UNION), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda m: F.struct(m.alias("form"), kind_of(m).alias("kind")))
+def found(text: Column, pattern: Column) -> Column:
+    """The matches of the pattern in order, as they stand."""
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.when(text.rlike(HINT), F.regexp_extract_all(text, pattern, F.lit(0))), none)
+
+
+def atoms(form: Column, kind: Column) -> Column:
+    """What of an entity has a surrogate of its own: of a name its words without the title, with
+    their roles, else the whole."""
+    title = rf"^(?:{_TITLE})\.?$"
+
+    def words(all_: Column) -> Column:
+        first = F.element_at(all_, 1)
+        titled = first.rlike(title) & (F.size(all_) > 1)
+        own = F.when(titled, F.slice(all_, 2, 4)).otherwise(all_)
+        given = F.element_at(own, 1)
+        female = F.when(first.rlike(rf"^(?:{_FEMALE})\.?$"), True).when(first.rlike(rf"^(?:{_MALE})\.?$"), False).when(given.isin(FIRST["f"]), True).when(given.isin(FIRST["m"]), False)
+        role = F.when(female, "given_f").when(~female, "given_m").otherwise("given")
+        return F.transform(own, lambda w, i: F.struct(F.when(i == F.size(own) - 1, "surname").otherwise(role).alias("kind"), w.alias("form"), F.lower(w).alias("norm")))
+
+    whole = F.array(F.struct(kind.alias("kind"), form.alias("form"), normal(kind, form).alias("norm")))
+    return F.when(kind == "name", words(F.split(form, " "))).otherwise(whole)
 
 
-def atoms(mention: Column) -> Column:
-    """What of a mention has a surrogate of its own: of a name its words, else the whole."""
+def mentioned(df: DataFrame, text: str) -> DataFrame:
+    """df with __quire_p, the pattern of a row's entities, and __quire_m, its mentions in order:
+    structs of form, kind and atoms. Where a text has names, their words are part of its
+    pattern."""
+    t = F.col(text)
+    first = df.withColumn("__quire_f", found(t, F.lit(UNION)))
+    named = F.filter(F.transform("__quire_f", lambda m: F.struct(m.alias("form"), kind_of(m).alias("kind"))), lambda m: m["kind"] == "name")
+    known = first.withColumn("__quire_n", F.array_distinct(F.flatten(F.transform(named, lambda m: atoms(m["form"], m["kind"])))))
+    words = F.array_distinct(F.transform("__quire_n", lambda a: a["form"]))
+    longer = F.concat(F.lit(UNION + r"|(?<![\p{L}-])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}-])"))
+    known = known.withColumn("__quire_p", F.when(F.size("__quire_n") > 0, longer).otherwise(F.lit(UNION)))
+    forms = known.withColumn("__quire_f", F.when(F.size("__quire_n") > 0, found(t, F.col("__quire_p"))).otherwise(F.col("__quire_f")))
 
-    def named(words: Column) -> Column:
-        female = F.element_at(words, 1).rlike(rf"^(?:{_FEMALE})\.?$")
-        role = lambda i: F.when(i == F.size(words) - 2, "surname").when(female, "given_f").otherwise("given_m")
-        return F.transform(F.slice(words, 2, 3), lambda w, i: F.struct(role(i).alias("kind"), w.alias("form"), F.lower(w).alias("norm")))
+    def mention(m: Column) -> Column:
+        kind = kind_of(m)
+        # a single word is part of a name found elsewhere in the text, and has the role it has there
+        part = F.filter("__quire_n", lambda a: a["form"] == m)
+        own = F.when((kind == "name") & (F.size(part) > 0), F.slice(part, 1, 1)).otherwise(atoms(m, kind))
+        return F.struct(m.alias("form"), kind.alias("kind"), own.alias("atoms"))
 
-    whole = F.array(F.struct(mention["kind"].alias("kind"), mention["form"].alias("form"), normal(mention["kind"], mention["form"]).alias("norm")))
-    return F.when(mention["kind"] == "name", named(F.split(mention["form"], " "))).otherwise(whole)
+    return forms.withColumn("__quire_m", F.transform("__quire_f", mention)).drop("__quire_f", "__quire_n")
 
 
 def replaced(mention: Column, secret: str, redrawn: Column | None) -> Column:
@@ -220,9 +289,10 @@ def replaced(mention: Column, secret: str, redrawn: Column | None) -> Column:
     def attempt(a: Column) -> Column:
         return F.lit(0) if redrawn is None else F.coalesce(F.try_element_at(redrawn, F.concat_ws(":", a["kind"], a["norm"])), F.lit(0))
 
-    seeded = F.transform(atoms(mention), lambda a: F.struct(a["kind"].alias("kind"), a["form"].alias("form"), drawn(secret, a["kind"], a["norm"], attempt(a).cast("string")).alias("seed")))
+    seeded = F.transform(mention["atoms"], lambda a: F.struct(a["kind"].alias("kind"), a["form"].alias("form"), drawn(secret, a["kind"], a["norm"], attempt(a).cast("string")).alias("seed")))
     parts = F.transform(seeded, lambda x: surrogate(x["kind"], x["form"], x["seed"]))
-    title = F.when(mention["kind"] == "name", F.array(F.split_part(mention["form"], F.lit(" "), F.lit(1))))
+    head = F.split(mention["form"], " ")
+    title = F.when((mention["kind"] == "name") & (F.size(head) > F.size(mention["atoms"])), F.slice(head, 1, 1))
     return F.array_join(F.concat(F.coalesce(title, F.array().cast("array<string>")), parts), " ")
 
 
@@ -251,17 +321,19 @@ def replace_pii(df: DataFrame, secret: str, text: str = "text", key: str = "doc_
     """df with its text's entities replaced, and entity_kinds (the kind of each mention, in
     order). All entities of the table are checked for collisions first."""
     names = [c for c in df.columns if c != "entity_kinds"]
-    own = df.select(F.explode(F.flatten(F.transform(mentions(F.col(text)), atoms))).alias("a"))
+    atoms_of = F.explode(F.flatten(F.transform("__quire_m", lambda m: m["atoms"])))
+    own = mentioned(df.select(F.col(text)), text).select(atoms_of.alias("a"))
     entities = settled(own.select("a.*").groupBy("kind", "norm").agg(F.min("form").alias("form")))
     again = redraws(entities, secret)
-    rows = df.select(*names).withColumn("__quire_m", mentions(F.col(text)))
+    rows = mentioned(df.select(*names), text)
     if again is not None:
         # Documents that hold a redrawn entity get a map of attempts, by document.
-        held = df.select(F.col(key).alias("__quire_k"), F.explode(F.flatten(F.transform(mentions(F.col(text)), atoms))).alias("a")).select("__quire_k", "a.kind", "a.norm").distinct()
+        held = mentioned(df.select(F.col(key).alias("__quire_k"), F.col(text).alias("__quire_t")), "__quire_t")
+        held = held.select("__quire_k", atoms_of.alias("a")).select("__quire_k", "a.kind", "a.norm").distinct()
         maps = held.join(again, ["kind", "norm"]).groupBy("__quire_k").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "kind", "norm"), "attempt"))).alias("__quire_again"))
         rows = rows.join(settled(maps), rows[key].eqNullSafe(F.col("__quire_k")), "left").drop("__quire_k")
     fresh = F.transform("__quire_m", lambda m: replaced(m, secret, F.col("__quire_again") if again is not None else None))
-    pieces = F.split(F.col(text), UNION, -1)
+    pieces = F.split(F.col(text), F.col("__quire_p"), -1)
     joined = F.array_join(F.zip_with(pieces, fresh, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     rows = rows.withColumn(text, F.when(F.size("__quire_m") > 0, joined).otherwise(F.col(text)))
     return rows.withColumn("entity_kinds", F.transform("__quire_m", lambda m: m["kind"])).select(*names, "entity_kinds")

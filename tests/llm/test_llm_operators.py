@@ -300,6 +300,64 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert out[3].entity_kinds == ["email"] and "v1.2.3.4" in out[3].text and "1.2.3.4.5" in out[3].text
 
 
+def mod_97(iban):
+    plain = iban.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97
+
+
+def test_surrogates_of_names_and_national_forms(spark):
+    from quire.llm.surrogates import replace_pii
+
+    rows = [
+        (1, "Mrs. Anna Smith called. Anna Smith left, and Smith's car stayed; Smithson didn't. John Doe and Dr. Doe came, Mme Curie too."),
+        (2, "Call 06 12 34 56 78, 030 1234567 or 212 555 0100; host 2001:db8::ff00:42:8329 or fe80:0:0:0:202:b3ff:fe1e:8329."),
+        (3, "DE89 3704 0044 0532 0130 00, GB82WEST12345698765432 and DE00370400440532013000."),
+        (4, "Smith without a name stays. At 12:30 on 1 000 000 lines 06 12 34 56 78 90."),
+    ]
+    out = {r.doc_id: r for r in replace_pii(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()}
+    m = re.fullmatch(r"Mrs\. (\S+) (\S+) called\. (\S+) (\S+) left, and (\S+)'s car stayed; Smithson didn't\. (\S+) (\S+) and Dr\. (\S+) came, Mme (\S+) too\.", out[1].text)
+    assert m[1] == m[3] and m[2] == m[4] == m[5] and m[7] == m[8]
+    assert not {"Anna", "Smith", "John", "Doe", "Curie"} & set(m.groups()) and m[1].split("-")[0] in "Alma Berta Clara Diana Elena Frida Greta Helena Irma Julia Klara Luisa Marta Nina Olga Petra"
+    assert out[2].entity_kinds == ["phone", "phone", "phone", "ip6", "ip6"]
+    assert re.fullmatch(r"Call 06 \d\d \d\d \d\d \d\d, 03\d \d{7} or \d{3} \d{3} \d{4}; host [\da-f]{4}:[\da-f]{3}::[\da-f]{2}00:[\da-f]{2}:[\da-f]{4} or [\da-f0]{4}:0:0:0:\S+\.", out[2].text)
+    assert not any(x in out[2].text for x in ("12 34 56 78", "1234567", "555 0100", "8329"))
+    a, b, c = re.split(r", | and ", out[3].text.rstrip("."))
+    assert out[3].entity_kinds == ["iban"] * 3 and mod_97(a) == mod_97(b) == 1 != mod_97(c)
+    assert a[:2] == "DE" and a.count(" ") == 5 and re.fullmatch("GB[0-9]{2}[A-Z]{4}[0-9]{14}", b) and "WEST" not in b
+    assert out[4].text == rows[3][1]
+
+
+def test_surrogates_of_all_documents(spark, texts):
+    """Every entity that plain expressions find in the table has one surrogate of its form, no
+    two have the same, and nothing else changes."""
+    from quire.llm.queries import op4_surrogates
+
+    plain = re.compile(r"(?P<email>[\w.]+@mail\d\.example\.com)|(?P<phone>\+1 \(\d{3}\) \d{3}-\d{4})|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]))|(?P<card>(?<!\d)\d{16}(?!\d))")
+    rows = op4_surrogates(spark, SF).collect()
+    assert len(rows) == len(texts)
+    drawn, n = {}, 0
+    for r in rows:
+        old = texts[r.doc_id]
+        if old is None:
+            assert r.text is None
+            continue
+        kinds = r.entity_kinds.split(",") if r.entity_kinds else []
+        found = list(plain.finditer(old))
+        assert [m.lastgroup for m in found] == kinds and r.n_entities == len(kinds)
+        parts, at = [], 0
+        for m in found:
+            parts.append(re.escape(old[at : m.start()]))
+            at = m.end()
+        new = re.fullmatch("(.+?)".join([*parts, re.escape(old[at:])]), r.text, re.S)
+        for m, to in zip(found, new.groups()):
+            own = m[0].lower()
+            assert drawn.setdefault(own, to.lower()) == to.lower() != own
+            if m.lastgroup != "email":
+                assert re.fullmatch(re.sub(r"\\?\d", r"\\d", re.escape(m[0])) if m.lastgroup != "ip" else r"\d+(\.\d+){3}", to)
+            n += 1
+    assert n and len(set(drawn.values())) == len(drawn) and not set(drawn) & set(drawn.values())
+
+
 def test_collisions_are_redrawn(spark, monkeypatch):
     from pyspark.sql import functions as F
 
