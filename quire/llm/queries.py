@@ -43,7 +43,7 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
     crc = F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32")
-    return out.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select("doc_id", "size", crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "group_cut")
 
 
 #: The key of surrogates; a real run passes its own.

@@ -268,9 +268,50 @@ def test_shards_are_even_whole_and_together(spark, documents, texts):
     for r in rows:
         where[r.text].add(r.shard)
     split = [t for t, s in where.items() if len(s) > 1]
+    assert all(r.group_cut == (len(where[r.text]) > 1) for r in rows)
     assert all(t == "same text " * 20 or sum(r.size for r in rows if r.text == t) > 0.001 * mean for t in split)
 
 
+def test_splitters_against_a_sorted_list(spark, monkeypatch):
+    """Borders of random keys and sizes, with a large group of one text, next to those that a
+    sorted list of all rows has."""
+    from quire.llm import shard
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(-(1 << 63), 1 << 63), rng.randrange(-(1 << 63), 1 << 63), rng.choice([1, 30, 500])) for _ in range(3000)]
+    rows += [(77, rng.randrange(-(1 << 63), 1 << 63), 40) for _ in range(2500)]
+    keyed = spark.createDataFrame(rows, "a long, b long, size long")
+    rows.sort()
+    total = sum(s for _, _, s in rows)
+    below = np.cumsum([0] + [s for _, _, s in rows])
+    for probes, most in ((256, 40), (2048, 20)):
+        monkeypatch.setattr(shard, "PROBES", probes)
+        cuts, rounds = shard.splitters(keyed, total, 40, 8, 0.001)
+        assert len(cuts) == 39 and cuts == sorted(cuts) and rounds <= most
+        for j in range(5, 40, 5):
+            at = int(below[sum((a, b) < cuts[j - 1] for a, b, _ in rows)])
+            assert abs(at - total * j / 40) <= max(500, 0.001 * total / 8)
+
+
+def test_registered_shards_against_plain_python(spark, texts):
+    """Sizes, checksums, law, slots and grown_shard of the registered query, row by row."""
+    from quire.llm.queries import op3_histogram_shards
+
+    rows = op3_histogram_shards(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    load, slots, where = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+        load[r.shard] += r.size
+        slots[r.shard].append(r.slot)
+        where[raw].add(r.shard)
+    assert set(load) == set(range(8)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(load.values()) / 8
+    assert max(abs(v - mean) for v in load.values()) <= max(r.size for r in rows)
+    assert all(r.group_cut == (len(where[(texts[r.doc_id] or "").encode()]) > 1) for r in rows)
+
+
 # --- PII ------------------------------------------------------------------------------------
 
 
