@@ -8,11 +8,13 @@ LF steps, and the words they cover are merged into removal spans.
 
 Words outside the benchmark's vocabulary can't be part of a window. They become separators and
 runs of known words shorter than the shortest window are left out of the index, so its size
-follows the text that could match. Nothing is shuffled; a task holds one block at a time.
+follows the text that could match. Nothing is shuffled; a task holds one block of text at a
+time, and searches its index for one block of the benchmark after another, each of bounded size.
 
 Defined results: null and empty texts have no words, no hits and aren't contaminated; a null
 or empty benchmark item has no windows; items of equal id count once; an item with a null id
-makes hits but isn't listed. Columns of df with an output's name are replaced.
+makes hits but isn't listed. Rows that repeat have equal results; long texts are searched whole,
+in an index of their own; an empty table gives no rows. Columns of df with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ IN_WORD[0x30:0x3A] = IN_WORD[0x61:0x7B] = IN_WORD[0x80:] = True
 #: Bytes of text that get one index, and every how many positions are sampled.
 BLOCK = 4 << 20
 SAMPLE = 8
-#: Benchmark bytes searched at once; a larger benchmark is taken in blocks of items.
+#: Benchmark bytes of a block of items, of which a worker holds one at a time.
 QUERY_BLOCK = 2 << 20
 OUTPUT = {"n_words": "long", "n_hit": "long", "items": "array<string>", "spans": "array<struct<start:bigint,end:bigint>>"}
 
@@ -50,34 +52,63 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 @dataclass
-class Phrases:
-    """The windows of a block of benchmark items; symbols are places in vocabulary plus 1."""
+class Block:
+    """The windows of some benchmark items. ``text`` has the items' words as symbols, places in
+    the vocabulary plus 2; windows are given by their first words."""
 
-    vocabulary: np.ndarray
-    windows: dict[int, np.ndarray]  # by length, a row each
+    text: np.ndarray
+    windows: dict[int, np.ndarray]  # by length
     owners: dict[int, tuple[np.ndarray, np.ndarray]]  # by length: bounds in, and item numbers
     items: list[str | None]
 
 
-def phrases(items: list[tuple[str | None, str | None]], width: int) -> Phrases:
+@dataclass
+class Phrases:
+    """A benchmark: the hashes of its words, in order, its shortest window, and its blocks, or
+    shared variables that hold them."""
+
+    vocabulary: np.ndarray
+    shortest: int
+    blocks: list
+
+    def each(self) -> Iterator[Block]:
+        for b in self.blocks:
+            if isinstance(b, Block):
+                yield b
+                continue
+            yield b.value
+            if len(self.blocks) > 1:  # a worker keeps one block only; the next use loads it again
+                b.__dict__.pop("_value", None)
+
+
+def words_in(items: list[tuple[str | None, str | None]]) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = texts_to_bytes(pa.array([t for _, t in items], pa.large_string()))
     hashes, _, _, first = words_of(data, offsets)
-    vocabulary, symbol = np.unique(hashes, return_inverse=True)
-    symbol = symbol.astype(np.int64) + 1
-    by: dict[int, list[np.ndarray]] = {}
-    own: dict[int, list[np.ndarray]] = {}
-    for k in range(len(items)):
-        s = symbol[first[k] : first[k + 1]]
-        if n := min(len(s), width):
-            w = np.lib.stride_tricks.sliding_window_view(s, n)
-            by.setdefault(n, []).append(w)
-            own.setdefault(n, []).append(np.full(len(w), k))
+    return hashes, first
+
+
+def block_of(items: list[str | None], hashes: np.ndarray, first: np.ndarray, vocabulary: np.ndarray, width: int) -> Block:
+    text = (np.searchsorted(vocabulary, hashes) + 2).astype(np.int32)
+    size = np.minimum(np.diff(first), width)
     windows, owners = {}, {}
-    for n, parts in by.items():
-        windows[n], which = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
-        pairs = np.unique(np.stack([which.ravel(), np.concatenate(own[n])], 1), axis=0)
-        owners[n] = np.searchsorted(pairs[:, 0], np.arange(len(windows[n]) + 1)), pairs[:, 1]
-    return Phrases(vocabulary, windows, owners, [i for i, _ in items])
+    for n in np.unique(size[size > 0]).tolist():
+        of = np.flatnonzero(size == n)
+        count = first[of + 1] - first[of] - n + 1
+        at = np.repeat(first[of], count) + segment_positions(count)
+        rows = np.lib.stride_tricks.sliding_window_view(text, n)[at]
+        _, one, which = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        windows[n] = at[one]
+        pairs = np.unique(np.stack([which.ravel(), np.repeat(of, count)], 1), axis=0)
+        owners[n] = np.searchsorted(pairs[:, 0], np.arange(len(one) + 1)), pairs[:, 1]
+    return Block(text, windows, owners, items)
+
+
+def phrases(items: list[tuple[str | None, str | None]], width: int) -> Phrases:
+    """A benchmark of one block."""
+    hashes, first = words_in(items)
+    vocabulary = np.unique(hashes)
+    block = block_of([i for i, _ in items], hashes, first, vocabulary, width)
+    return Phrases(vocabulary, min(block.windows, default=0), [block])
 
 
 def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
@@ -153,12 +184,13 @@ class FMIndex:
         self.sampled = order[marked]
         self.n = len(text)
 
-    def search(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which windows occur, and the interval of suffixes of each."""
-        alive = np.arange(len(windows))
-        lo, hi = np.zeros(len(windows), np.int64), np.full(len(windows), self.n, np.int64)
-        for j in range(windows.shape[1] - 1, -1, -1):
-            c = windows[alive, j]
+    def search(self, text: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which windows (runs of n symbols of ``text``) occur, and the interval of suffixes of
+        each."""
+        alive = np.arange(len(starts))
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        for j in range(n - 1, -1, -1):
+            c = text[starts[alive] + j].astype(np.int64)
             lo, hi = (self.before[c] + self.tree.rank(c, x) for x in (lo, hi))
             left = lo < hi
             alive, lo, hi = alive[left], lo[left], hi[left]
@@ -179,14 +211,14 @@ class FMIndex:
         return self.sampled[self.mark_rank[at]] + steps
 
 
-def occurrences(hashes: np.ndarray, first: np.ndarray, find: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each window length: windows (by number) and the words at which they occur."""
+def occurrences(hashes: np.ndarray, first: np.ndarray, find: Phrases) -> Iterator[tuple[Block, int, np.ndarray, np.ndarray]]:
+    """For each block and window length: windows (by number) and the words at which they occur."""
     if not len(find.vocabulary) or not len(hashes):
         return
     at = np.minimum(np.searchsorted(find.vocabulary, hashes), len(find.vocabulary) - 1)
     symbol = np.where(find.vocabulary[at] == hashes, at + 1, 0)
     starts, ends, _ = runs(symbol > 0, first)
-    long = ends - starts >= min(find.windows)
+    long = ends - starts >= find.shortest
     starts, ends = starts[long], ends[long]
     if not len(starts):
         return
@@ -196,34 +228,34 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, find: Phrases) -> Iterato
     text = np.append(symbol[np.minimum(place, len(symbol) - 1)] + 1, 0)  # 0 ends the text, 1 separates runs
     text[closing] = 1
     index = FMIndex(text, len(find.vocabulary) + 1)
-    for n, windows in find.windows.items():
-        which, lo, hi = index.search(windows + 1)
-        if len(which):
-            count = hi - lo
-            suffix = np.repeat(lo, count) + segment_positions(count)
-            yield n, np.repeat(which, count), place[index.locate(suffix)]
+    for block in find.each():
+        for n, windows in block.windows.items():
+            which, lo, hi = index.search(block.text, windows, n)
+            if len(which):
+                count = hi - lo
+                suffix = np.repeat(lo, count) + segment_positions(count)
+                yield block, n, np.repeat(which, count), place[index.locate(suffix)]
 
 
 def scan_block(text: pa.Array, find: Phrases) -> tuple[np.ndarray, np.ndarray, list[list[str]], list[list[dict]]]:
     data, offsets = texts_to_bytes(text)
     hashes, starts, ends, first = words_of(data, offsets)
     docs, covered = len(text), np.zeros(len(hashes) + 1, np.int64)
-    found: list[np.ndarray] = []
-    for n, which, at in occurrences(hashes, first, find):
+    items_of: list[set[str]] = [set() for _ in range(docs)]
+    for block, n, which, at in occurrences(hashes, first, find):
         np.add.at(covered, at, 1)
         np.add.at(covered, at + n, -1)
         doc = np.searchsorted(first, at, "right") - 1
         pairs = np.unique(np.stack([doc, which], 1), axis=0)
-        bounds, items = find.owners[n]
+        bounds, items = block.owners[n]
         count = bounds[pairs[:, 1] + 1] - bounds[pairs[:, 1]]
-        found.append(np.stack([np.repeat(pairs[:, 0], count), items[np.repeat(bounds[pairs[:, 1]], count) + segment_positions(count)]], 1))
+        found = np.stack([np.repeat(pairs[:, 0], count), items[np.repeat(bounds[pairs[:, 1]], count) + segment_positions(count)]], 1)
+        for d, i in np.unique(found, axis=0).tolist():
+            if block.items[i] is not None:
+                items_of[d].add(block.items[i])
     hit = np.cumsum(covered)[:-1] > 0
     total = np.concatenate([[0], np.cumsum(hit)])
     n_hit = total[first[1:]] - total[first[:-1]]
-    items_of: list[list[str]] = [[] for _ in range(docs)]
-    for d, i in np.unique(np.concatenate(found), axis=0).tolist() if found else ():
-        if find.items[i] is not None:
-            items_of[d].append(find.items[i])
     spans: list[list[dict]] = [[] for _ in range(docs)]
     a, b, of = runs(hit, first)
     for d in np.flatnonzero(n_hit).tolist():
@@ -232,29 +264,19 @@ def scan_block(text: pa.Array, find: Phrases) -> tuple[np.ndarray, np.ndarray, l
         k = slice(of[d], of[d + 1])
         lo, hi = chars[starts[a[k]] - offsets[d]], chars[ends[b[k] - 1] - offsets[d]]
         spans[d] = [{"start": s, "end": e} for s, e in zip(lo.tolist(), hi.tolist())]
-    return np.diff(first), n_hit, [sorted(set(x)) for x in items_of], spans
+    return np.diff(first), n_hit, [sorted(x) for x in items_of], spans
 
 
-def merged_spans(one: list[dict] | None, two: list[dict]) -> list[dict]:
-    out: list[dict] = []
-    for s in sorted([*(one or []), *two], key=lambda x: (x["start"], x["end"])):
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
-        else:
-            out.append(dict(s))
-    return out
-
-
-def _one_pass(df: DataFrame, text: str, find: Phrases, later: bool) -> DataFrame:
-    """df with the outputs; later: they are there from earlier items and are added to."""
+def scanned(df: DataFrame, text: str, vocabulary: np.ndarray, shortest: int, blocks: list) -> DataFrame:
+    """df with the outputs; blocks are shared variables."""
     kept = [f for f in df.schema.fields if f.name not in OUTPUT]
     schema = T.StructType(kept + T.StructType.fromDDL(", ".join(f"{k} {v}" for k, v in OUTPUT.items())).fields)
-    shared = df.sparkSession.sparkContext.broadcast(find)
+    shared = df.sparkSession.sparkContext.broadcast((vocabulary, shortest))  # the distinct words' hashes
     names = [f.name for f in kept]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = shared.value
+        find = Phrases(*shared.value, blocks)
         for batch in batches:
             ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             k = 0
@@ -262,11 +284,6 @@ def _one_pass(df: DataFrame, text: str, find: Phrases, later: bool) -> DataFrame
                 j = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + BLOCK, "right")))
                 part = batch.slice(k, j - k)
                 n_words, n_hit, items, spans = scan_block(part.column(text), find)
-                if later:
-                    items = [sorted({*x, *y}) for x, y in zip(part.column("items").to_pylist(), items)]
-                    both = [(x, y) for x, y in zip(part.column("spans").to_pylist(), spans)]
-                    spans = [merged_spans(x, y) for x, y in both]
-                    n_hit = covered_words(part.column(text), spans)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(n) for n in names), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, span_type)],
                     names=[*names, *OUTPUT],
@@ -276,33 +293,27 @@ def _one_pass(df: DataFrame, text: str, find: Phrases, later: bool) -> DataFrame
     return df.mapInArrow(scan, schema)
 
 
-def covered_words(text: pa.Array, spans: list[list[dict]]) -> np.ndarray:
-    """How many words lie within the spans of each text."""
-    out = np.zeros(len(text), np.int64)
-    for d, own in enumerate(spans):
-        if own:
-            s = text[d].as_py()
-            for x in own:
-                data, offsets = texts_to_bytes(pa.array([s[x["start"] : x["end"]]], pa.large_string()))
-                out[d] += len(words_of(data, offsets)[0])
-    return out
-
-
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 13, share: int = 20) -> DataFrame:
     """df with n_words, n_hit, items (ids with occurring windows, sorted as strings), spans
     (merged, in code points) and contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    The benchmark is the stated query set; it is fetched in blocks of at most QUERY_BLOCK
-    bytes, and df is scanned once for each block.
+    The benchmark is the stated query set; it is fetched in blocks of about QUERY_BLOCK bytes
+    and shared block by block, and df is scanned once for all of them.
     """
-    bounded_batches(df.sparkSession, BLOCK)
+    spark = df.sparkSession
+    bounded_batches(spark, BLOCK)
     asked = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     size = int(asked.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0])
     blocks = max(1, -(-size // QUERY_BLOCK))
+    parts = []
     for k in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else asked
         items = [(r.i, r.t) for r in part.distinct().collect()]
-        df = _one_pass(df, text, phrases(items, width), later=k > 0)
+        parts.append(([i for i, _ in items], *words_in(items)))
+    vocabulary = np.unique(np.concatenate([h for _, h, _ in parts]))
+    made = [block_of(*p, vocabulary, width) for p in parts]
+    shortest = min((n for b in made for n in b.windows), default=0)
+    df = scanned(df, text, vocabulary, shortest, [spark.sparkContext.broadcast(b) for b in made])
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
 
 
