@@ -7,29 +7,34 @@ root is asked again until no pair can merge. Short words, whose trees have one w
 merged in step as rows of one numpy array; a long word has a tree of its own, so that a run of
 n symbols without a break costs n log n.
 
-Defined results: a null or empty text has no ids and decodes to ''; ids that aren't whole
-32-bit words are refused; equal texts have equal ids. Other columns pass through; an output
-name that is already taken is replaced.
+Defined results: a null or empty text has no ids and decodes to ''; equal texts have equal ids,
+whatever rows they stand in; texts and words may have any length. In decoding, ids outside the
+vocabulary stand for nothing, as in the library, bytes that aren't UTF-8 become U+FFFD, and a
+column value that isn't whole 32-bit words gives null (Encoder.decode raises ValueError). An
+empty table gives no rows. Other columns pass through; an output name that is already taken is
+replaced. The vocabulary's file is read on the driver and sent to the workers.
 """
 
 from __future__ import annotations
 
 import json
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import bounded_batches
 
 #: The pre-tokeniser's pattern (fixed values of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words are kept with their ids up to this many; then the store is emptied.
-CACHE_WORDS = 300_000
+#: Words are kept with their ids while they take fewer bytes than this; then the store is emptied.
+CACHE_BYTES = 64 << 20
+#: About what a word in the store takes beside its characters and ids.
+ENTRY = 150
 #: Long texts are cut before white space into pieces of about this many characters.
 PIECE = 1 << 15
 #: Words of more symbols have a tree of their own.
@@ -73,12 +78,16 @@ class PairTree:
             node[k] = min(node[2 * k], node[2 * k + 1])
 
 
+def file_text(path: str) -> str:
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class Encoder:
     """A vocabulary with merges, read from a tokenizers JSON file of byte-level BPE."""
 
-    def __init__(self, path: str) -> None:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, path: str, text: str | None = None) -> None:
+        spec = json.loads(file_text(path) if text is None else text)
         model, alphabet = spec["model"], byte_alphabet()
         vocab: dict[str, int] = model["vocab"]
         added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
@@ -105,6 +114,7 @@ class Encoder:
         self.byte_rank = self.ranks(self.first[pair >> 8], self.first[pair & 255])
         self.words = regex.compile(PATTERN)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
@@ -188,6 +198,7 @@ class Encoder:
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for w in words:
             raw = w.encode("utf-8", "replace")
+            self.held += 6 * len(raw) + ENTRY
             if len(raw) > WIDEST:
                 self.cache[w] = self.merge_long(raw)
             else:
@@ -221,8 +232,6 @@ class Encoder:
         out: list[bytes] = []
         k = 0
         while k < len(texts):
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
             group, size = [], 0
             while k < len(texts) and (not group or size + len(texts[k] or "") < 1 << 20):
                 size += len(texts[k] or "")
@@ -235,8 +244,9 @@ class Encoder:
         return out
 
     def joined(self, parts: list[str | bytes]) -> list[bytes]:
-        if len(self.cache) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.cache.clear()
+            self.held = 0
         words = [p if isinstance(p, bytes) else self.words.findall(p) for p in parts]
         new: set[str] = set()
         for w in words:
@@ -253,29 +263,35 @@ class Encoder:
         return [b"".join(next(flat) for _ in x) for x in parts]
 
     def decode(self, ids: bytes) -> str:
-        piece, step = self.piece, 1 << 18
+        piece, step, top = self.piece, 1 << 18, len(self.piece)
         if len(ids) % 4:
             raise ValueError("ids aren't whole 32-bit words")
-        parts = (np.frombuffer(ids[k : k + 4 * step], "<u4").tolist() for k in range(0, len(ids), 4 * step))
-        return b"".join(b"".join([piece[i] for i in p]) for p in parts).decode("utf-8", "replace")
+        parts = (np.frombuffer(ids[k : k + 4 * step], "<u4") for k in range(0, len(ids), 4 * step))
+        return b"".join(b"".join([piece[i] for i in p[p < top].tolist()]) for p in parts).decode("utf-8", "replace")
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process, kept with its words from batch to batch."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def sent(path: str) -> Callable[[], Encoder]:
+    """What gives a worker process its encoder, kept with its words from batch to batch."""
+    shared = SparkSession.active().sparkContext.broadcast(file_text(path))  # of the vocabulary's size
+
+    def encoder() -> Encoder:
+        if path not in _encoders:
+            _encoders[path] = Encoder(path, shared.value)
+        return _encoders[path]
+
+    return encoder
 
 
 def encode_column(text: Column, path: str) -> Column:
     """The ids of a text column as binary (little-endian unsigned 32-bit integers)."""
+    encoder = sent(path)
 
     @F.arrow_udf("binary")
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = encoder(path)
+        coder = encoder()
         for batch in batches:
             yield pa.array(coder.encode(batch.to_pylist()), pa.binary())
 
@@ -283,13 +299,14 @@ def encode_column(text: Column, path: str) -> Column:
 
 
 def decode_column(ids: Column, path: str) -> Column:
-    """The text of an ids column; bytes that aren't UTF-8 become U+FFFD."""
+    """The text of an ids column; null for a value that isn't whole 32-bit words."""
+    encoder = sent(path)
 
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = encoder(path)
+        coder = encoder()
         for batch in batches:
-            yield pa.array([coder.decode(x or b"") for x in batch.to_pylist()], pa.string())
+            yield pa.array([None if len(x or b"") % 4 else coder.decode(x or b"") for x in batch.to_pylist()], pa.string())
 
     return text(ids)
 
@@ -311,10 +328,11 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids
     """df with the ids of ``text``, their number, and the text that they decode to. Both are
     made in one worker, which then holds the only copy of the vocabulary and the word store."""
     bounded_batches(df.sparkSession)
+    encoder = sent(path)
 
     @F.arrow_udf("struct<ids:binary,decoded:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        coder = encoder(path)
+        coder = encoder()
         for batch in batches:
             found = coder.encode(batch.to_pylist())
             back = pa.array([coder.decode(x) for x in found], pa.string())

@@ -14,9 +14,7 @@ from quire.llm.common import remove, scratch, settled, table
 
 
 def tokenizer(name: str) -> str:
-    """The place of a public tokenizer's file; QUIRE_TOKENIZERS names another folder."""
-    if folder := os.environ.get("QUIRE_TOKENIZERS"):
-        return os.path.join(folder, name)
+    """The place of a public tokenizer's file."""
     if importlib.util.find_spec("public_tokenizers"):
         import public_tokenizers
 

@@ -40,13 +40,18 @@ KINDS = {2: "<u2", 4: "<u4"}
 _coders: dict[tuple[str, str], object] = {}
 
 
-def coder(path: str, pattern: str):
-    """One tiktoken encoding a worker process."""
+def file_bytes(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def coder(path: str, pattern: str, data: bytes | None = None):
+    """One tiktoken encoding a worker process; data is the file's content, if it was sent."""
     if (path, pattern) not in _coders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        lines = (file_bytes(path) if data is None else data).splitlines()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         _coders[path, pattern] = tiktoken.Encoding("flat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     return _coders[path, pattern]
 
@@ -61,10 +66,11 @@ def write_token_files(df: DataFrame, out: str, path: str, pattern: str, end: int
     no task sorts its rows."""
     spark = df.sparkSession
     bounded_batches(spark)
+    shared = spark.sparkContext.broadcast(file_bytes(path))  # of the vocabulary's size
 
     @F.arrow_udf("binary")
     def ids(column: pa.Array) -> pa.Array:
-        encode = coder(path, pattern).encode_ordinary
+        encode = coder(path, pattern, shared.value).encode_ordinary
         return pa.array([np.array(encode(t or ""), KINDS[width]).tobytes() for t in column.to_pylist()], pa.binary())
 
     mark = int(end).to_bytes(width, "little").decode("latin-1")

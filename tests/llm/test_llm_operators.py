@@ -70,6 +70,27 @@ def test_decode_bad_bytes(coder):
     assert coder.decode(ids) == "�A"
     with pytest.raises(ValueError):
         coder.decode(b"abc")
+    assert coder.decode(np.array([10**9, coder.first[0x41], 1 << 31], "<u4").tobytes()) == "A"
+
+
+def test_decode_column_of_bad_ids(spark):
+    from quire.llm.bpe import bpe_decode
+    from quire.llm.queries import tokenizer
+
+    rows = [(1, bytearray(b"abc")), (2, None), (3, bytearray(b"\xff\xff\xff\xff"))]
+    out = bpe_decode(spark.createDataFrame(rows, "k long, ids binary"), tokenizer("byte_bpe_50k.json")).collect()
+    assert {r.k: r.decoded for r in out} == {1: None, 2: "", 3: ""}
+
+
+def test_word_store_is_bounded_by_bytes(coder, monkeypatch):
+    from quire.llm import bpe
+
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 16)
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(20_000)) for _ in range(12)]
+    for t in texts:
+        assert coder.decode(coder.encode([t])[0]) == t
+        assert sum(map(len, coder.cache)) < 100_000
 
 
 # --- near-dedup -----------------------------------------------------------------------------
