@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A document's features are its words, pairs of neighbouring words, and the n-grams of its
-bytes, each hashed into a table of learned vectors. Their average goes through a linear layer
+characters, each hashed into a table of learned vectors. Their average goes through a linear layer
 and softmax; vectors and layer are trained by numpy stochastic gradient descent. As the layer
 is linear, a trained model is folded into one number a bucket (the difference of the two
 logits), so that scoring sums one gather a feature.
@@ -13,7 +13,10 @@ Only whole texts are features. Training takes a bounded sample (``max_docs``, of
 up to half, by a hash of the id); each sampled document is reduced on the executors to its
 buckets' weights, at most one for each bucket. Defined results: null and empty texts have no
 features and get the score of the bias alone; with no labelled rows every score is 0.5; rows
-with a null label aren't learned from. Columns of df with an output's name are replaced.
+with a null label or id aren't learned from, an id labelled twice counts by its least label, and
+of many rows ties in the sample's order go by id. Equal texts have equal scores; texts are
+scored whole, whatever their length; an empty table gives no rows. Columns of df with an
+output's name are replaced.
 """
 
 from __future__ import annotations
@@ -51,14 +54,14 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
     inside = ~last[:-1] if len(words) else last
     before = np.concatenate([[0], np.cumsum(inside)])
     yield pair[inside].astype(np.intp), before[np.minimum(first, len(before) - 1)]
-    wide = data.astype(np.uint32)
+    wide, offsets = characters(data, offsets)
     for n in GRAMS:
-        if len(data) < n:
+        if len(wide) < n:
             yield np.zeros(0, np.intp), np.zeros(len(offsets), np.int64)
             continue
-        code = np.zeros(len(data) - n + 1, np.uint32)
+        code = np.zeros(len(wide) - n + 1, np.uint32)
         for j in range(n):
-            code = code * np.uint32(0x01000193) + wide[j : len(data) - n + 1 + j]
+            code = code * np.uint32(0x01000193) + wide[j : len(wide) - n + 1 + j]
         code = (code ^ np.uint32(n)) * np.uint32(0x9E3779B1)
         # n-grams that would run into the next text are left out
         ok = np.ones(len(code), bool)
@@ -69,6 +72,21 @@ def features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         yield (code[ok] >> np.uint32(32 - BITS)).astype(np.intp), before[np.minimum(offsets, len(code))]
 
 
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character of UTF-8 texts, its bytes, and each text's first."""
+    begin = (data & 0xC0) != 0x80
+    if begin.all():
+        return data.astype(np.uint32), offsets
+    at = np.flatnonzero(begin)
+    size = np.diff(at, append=len(data))
+    out = data[at].astype(np.uint32)
+    for j in range(1, 4):
+        more = np.flatnonzero(size > j)
+        out[more] = out[more] << np.uint32(8) | data[at[more] + j]
+    before = np.concatenate([[0], np.cumsum(begin)])
+    return out, before[offsets]
+
+
 def sums_between(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
     return total[first[1:]] - total[first[:-1]]
@@ -145,7 +163,10 @@ def train(rows: list[tuple[bytes, bytes, int]], dim: int = 8, updates: int = 120
             back = p @ layer.T
             layer -= lr * 0.05 * hidden.T @ p
             bias -= lr * 0.001 * p.sum(0)
-            np.subtract.at(vectors, at, lr * v[:, None] * back[row])
+            step = lr * v[:, None] * back[row]
+            one, where = np.unique(at, return_inverse=True)
+            for d in range(dim):
+                vectors[one, d] -= np.bincount(where, step[:, d], len(one)).astype(np.float32)
     flat = vectors @ (layer[:, 1] - layer[:, 0])
     return Model(flat.astype(np.float32), float(bias[1] - bias[0]))
 
