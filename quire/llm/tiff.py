@@ -1,14 +1,18 @@
 """TIFF pages as rows: a writer and a reader.
 
 The reader walks the image file directories of classic TIFF in either byte order, decodes
-strips or tiles that are stored plain, by PackBits, LZW or deflate, undoes the horizontal
-predictor, joins planes, and yields one page after another. The writer makes such files.
+strips or tiles that are stored plain, by PackBits, LZW or deflate, in either fill order, undoes
+the horizontal and the floating-point predictor, joins planes, and yields one page after
+another. The writer makes such files (predictors 1 and 2).
 
 LZW codes are read most significant bit first with early change. Offsets that lie outside the
 file, loops of directories, and unknown compressions end in an error, which the DataFrame
 operator reports in the row's ``error`` column; other rows go on. Defined results: null bytes
 give one row with error 'no bytes' and null page fields; a directory without strips gives an
-error too; tiles' padding is cut.
+error too, as does a page of more than LARGEST_PAGE bytes, which no binary column holds; tiles'
+padding is cut. Null and empty texts are stored as a page of spaces, long ones as tall pages;
+rows that repeat, or have null keys, have pages of their own; an empty table gives no rows.
+Columns of df with an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from quire.llm.common import bounded_batches
 #: Tag numbers, field types' sizes and compression numbers of the format (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR = 273, 277, 278, 279, 284
+FILL_ORDER = 266
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
@@ -36,6 +41,9 @@ PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 LARGEST_PAGE = 1 << 30
 
 
+_REVERSED = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)[:, ::-1], axis=1).ravel()
+
+
 class TiffError(ValueError):
     pass
 
@@ -229,9 +237,17 @@ def fields_of(raw: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     return out, following
 
 
-def unpredicted(block: np.ndarray, bits: int, order: str) -> np.ndarray:
-    """Rows (height, width, samples) of differences summed along each row."""
-    return np.cumsum(block, axis=1, dtype=block.dtype)
+def unpredicted(block: bytes, predictor: int, rows: int, wide: int, each: int, bits: int, order: str) -> np.ndarray:
+    """Rows of bytes from those that a predictor left: differences of neighbouring samples (2),
+    or of neighbouring bytes where a row's samples are stored by bytes, the highest first (3)."""
+    if predictor == 2:
+        kind = np.dtype({8: "u1", 16: order + "u2", 32: order + "u4", 64: order + "u8"}[bits])
+        samples = np.frombuffer(block, kind).astype(kind.newbyteorder("=")).reshape(rows, wide, each)
+        return np.cumsum(samples, axis=1, dtype=samples.dtype).astype(kind).view(np.uint8).reshape(rows, -1)
+    size = bits // 8
+    summed = np.cumsum(np.frombuffer(block, np.uint8).reshape(rows, wide * size, each), axis=1, dtype=np.uint8)
+    high_first = summed.reshape(rows, size, wide * each).transpose(0, 2, 1)
+    return np.ascontiguousarray(high_first if order == ">" else high_first[:, :, ::-1]).reshape(rows, -1)
 
 
 def page_of(raw: bytes, f: dict[int, tuple], order: str) -> Page:
@@ -240,7 +256,7 @@ def page_of(raw: bytes, f: dict[int, tuple], order: str) -> Page:
     bits, compression, predictor = one(BITS, 1), one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
     if not width or not height or len(set(f.get(BITS, (bits,)))) > 1:
         raise TiffError("no size, or samples of unlike size")
-    if bits not in (1, 2, 4, 8, 16, 32) or predictor not in (1, 2) or bits < 8 and predictor == 2:
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or predictor not in (1, 2, 3) or bits < 8 * min(predictor - 1, 2):
         raise TiffError(f"{bits} bits with predictor {predictor}")
     planes = samples if one(PLANAR, 1) == 2 else 1
     each = samples // planes
@@ -256,7 +272,7 @@ def page_of(raw: bytes, f: dict[int, tuple], order: str) -> Page:
     across, down = -(-width // wide), -(-height // tall)
     if len(offsets) < across * down * planes or len(counts) < len(offsets):
         raise TiffError("too few strips or tiles")
-    kind = np.dtype({8: "u1", 16: order + "u2", 32: order + "u4"}.get(bits, "u1"))
+    reverse = one(FILL_ORDER, 1) == 2
     step = each * bits // 8 if bits >= 8 else 0
     out = np.zeros((planes, height, page_row), np.uint8)
     for k in range(across * down * planes):
@@ -266,13 +282,15 @@ def page_of(raw: bytes, f: dict[int, tuple], order: str) -> Page:
         if offsets[k] + counts[k] > len(raw):
             raise TiffError("strip or tile outside the file")
         size = rows * row_bytes
-        block = decode(compression, raw[offsets[k] : offsets[k] + counts[k]], size)[:size]
+        stored = raw[offsets[k] : offsets[k] + counts[k]]
+        if reverse:
+            stored = _REVERSED[np.frombuffer(stored, np.uint8)].tobytes()
+        block = decode(compression, stored, size)[:size]
         if len(block) < size:
             raise TiffError("strip or tile too short")
         flat = np.frombuffer(block, np.uint8).reshape(rows, row_bytes)
-        if predictor == 2:
-            pixels = np.frombuffer(block, kind).astype(kind.newbyteorder("=")).reshape(rows, wide, each)
-            flat = unpredicted(pixels, bits, order).astype(kind).view(np.uint8).reshape(rows, row_bytes)
+        if predictor > 1:
+            flat = unpredicted(block, predictor, rows, wide, each, bits, order)
         top, left = y * tall, x * wide * step if step else x * row_bytes
         high, broad = min(rows, height - top), min(row_bytes, page_row - left)
         out[plane, top : top + high, left : left + broad] = flat[:high, :broad]
@@ -283,7 +301,7 @@ def page_of(raw: bytes, f: dict[int, tuple], order: str) -> Page:
     else:
         raise TiffError("planes of less than 8 bits")
     if bits > 8 and order == ">":
-        data = np.frombuffer(data, kind).astype(kind.newbyteorder("<")).tobytes()
+        data = np.frombuffer(data, np.uint8).reshape(-1, bits // 8)[:, ::-1].tobytes()
     return Page(width, height, samples, bits, compression, predictor, tiled, data)
 
 

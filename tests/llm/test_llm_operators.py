@@ -450,6 +450,21 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([p == q for p, q in held]) > 0.97 and not any(q == 1 and p == 0 for p, q in held)
 
 
+def test_quality_features_against_plain_python():
+    """Numbers of features by kind, and whole characters in the n-grams of multi-byte text."""
+    from quire.llm.common import texts_to_bytes
+    from quire.llm.quality import characters, features
+
+    rows = ["añb 日本語x", "", "ab", "\U0001f600éa b c d", None, "日本"]
+    data, offsets = texts_to_bytes(pa.array(rows))
+    codes, first = characters(data, offsets)
+    for k, t in enumerate(rows):
+        assert codes[first[k] : first[k + 1]].tolist() == [int.from_bytes(c.encode(), "big") for c in t or ""]
+    found = list(features(data, offsets))
+    for kind, want in zip(found, ([len((t or "").split()) for t in rows], [max(0, len((t or "").split()) - 1) for t in rows], [max(0, len(t or "") - 2) for t in rows], [max(0, len(t or "") - 3) for t in rows])):
+        assert np.diff(kind[1]).tolist() == want and len(kind[0]) == sum(want)
+
+
 def test_quality_needs_both_labels(spark, documents):
     from quire.llm.quality import Model, fit, train
 
@@ -813,6 +828,59 @@ def test_tiff_other_layouts_and_errors():
             list(pages(bad))
 
 
+def small_file(order, fields, strip):
+    """A file of one strip, which comes after its directory; fields' values fit in theirs."""
+    fields = sorted([*fields, (273, 4, 8 + 2 + 12 * (len(fields) + 2) + 4), (279, 4, len(strip))])
+    entries = b"".join(struct.pack(f"{order}HHI", tag, kind, 1) + (struct.pack(f"{order}I", v) if kind == 4 else struct.pack(f"{order}HH", v, 0)) for tag, kind, v in fields)
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(f"{order}IH", 8, len(fields)) + entries + b"\0\0\0\0" + strip
+
+
+@pytest.mark.parametrize("order", "<>")
+@pytest.mark.parametrize("bits", [16, 32, 64])
+def test_tiff_floating_point_predictor(order, bits):
+    from quire.llm.tiff import pages
+
+    rng = np.random.default_rng(bits)
+    width, height, size = 7, 3, bits // 8
+    values = rng.normal(0, 100, (height, width)).astype(f"f{size}")
+    rows = b""
+    for row in values:
+        by_byte = [row.astype(f">f{size}").tobytes()[k::size] for k in range(size)]
+        flat = list(b"".join(by_byte))
+        rows += bytes((x - y) % 256 for x, y in zip(flat, [0, *flat]))
+    fields = [(256, 3, width), (257, 3, height), (258, 3, bits), (259, 3, 8), (277, 3, 1), (278, 3, height), (317, 3, 3), (339, 3, 3)]
+    (page,) = pages(small_file(order, fields, zlib.compress(rows)))
+    assert np.frombuffer(page.data, f"<f{size}").reshape(height, width).tolist() == values.tolist()
+
+
+def test_tiff_fill_order():
+    from quire.llm.tiff import lzw, packbits, pages
+
+    data = bytes(range(200)) + b"aaaa" * 14
+    for compression, stored in ((1, data), (32773, packbits(data)), (5, lzw(data))):
+        turned = bytes(int(f"{x:08b}"[::-1], 2) for x in stored)
+        fields = [(256, 3, 16), (257, 3, 16), (258, 3, 8), (259, 3, compression), (266, 3, 2), (277, 3, 1), (278, 3, 16)]
+        (page,) = pages(small_file("<", fields, turned))
+        assert page.data == data
+
+
+def test_registered_pages_against_plain_python(spark, texts):
+    from quire.llm.queries import op10_tiff_pages
+
+    rows = op10_tiff_pages(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    media = defaultdict(set)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        payload = raw + b" " * (192 - len(raw) % 192 if len(raw) % 192 or not raw else 0)
+        assert (r.n_bytes, r.payload_bytes) == (len(raw), len(payload))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+        a = np.frombuffer(payload, np.uint8).reshape(-1, 3)
+        assert r.feature == f"64x{len(payload) // 192}x3 " + " ".join(f"{m:.3f}/{v:.3f}" for m, v in zip(a.mean(0), a.std(0)))
+        media[raw].add((r.media_sha256, r.media_bytes))
+    assert all(len(m) == 1 for m in media.values())
+
+
 def test_tiff_pages_as_rows(spark):
     from quire.llm.tiff import Layout, read_pages, write_tiff
 
