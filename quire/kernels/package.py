@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 import zlib
 from collections.abc import Iterator
+from html import escape, unescape
 from urllib.parse import unquote
 from xml.parsers import expat
 
+from quire.kernels.html_tokens import END, START, TEXT, Scanner
 from quire.kernels.model import FILE_CORRUPTED, LARGEST_MEMBER, ConvertError
 
 
@@ -70,38 +73,81 @@ def decode_part(data: bytes) -> str:
     return data.decode("latin-1")
 
 
+_DOCTYPE = re.compile(r"<!DOCTYPE[^\[>]*+(?:\[[^\]]*+\]\s*)?>", re.I)
+_CDATA = re.compile(r"<!\[CDATA\[(.*?)(?:\]\]>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""")
+
+
+class TreeBuilder:
+    """Makes a tree below a nameless root from events."""
+
+    def __init__(self) -> None:
+        self.root = XmlNode("", {}, None)
+        self.open = [self.root]
+        self.run: list[str] = []
+
+    def settle(self) -> None:
+        if self.run:
+            self.open[-1].children.append("".join(self.run))
+            self.run.clear()
+
+    def start(self, name: str, attrs: dict[str, str]) -> None:
+        self.settle()
+        e = XmlNode(name, attrs, self.open[-1])
+        self.open[-1].children.append(e)
+        self.open.append(e)
+
+    def end(self, name: str) -> None:
+        """Closes the innermost open element of the name, with those inside it, if there's one."""
+        self.settle()
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].name == name:
+                del self.open[k:]
+                return
+
+
+def lenient_xml(text: str) -> XmlNode:
+    """The tree of XML that isn't well-formed: unknown entities stay as they are, stray end tags
+    are left out, unclosed elements end with their parents. Names are as written."""
+    text = _CDATA.sub(lambda m: escape(m[1]), _DOCTYPE.sub("", text))
+    made = TreeBuilder()
+    for kind, value, raw in Scanner(text):
+        if kind == TEXT:
+            made.run.append(unescape(value))
+        elif kind == END:
+            made.end(value)
+        elif kind == START:
+            attrs: dict[str, str] = {}
+            for name, a, b, c in _ATTRIBUTE.findall(raw):
+                attrs.setdefault(name, unescape(a or b or c))
+            closed = raw.endswith("/") or value.endswith("/")
+            made.start(value.rstrip("/"), attrs)
+            if closed:
+                made.open.pop()
+    made.settle()
+    return made.root
+
+
 def parse_xml(data: bytes) -> XmlNode:
-    """The tree below a nameless root. XML that breaks off leaves the tree so far; entities
-    that a document declares aren't expanded."""
-    root = XmlNode("", {}, None)
-    at = [root]
-
-    def start(name: str, attrs: dict[str, str]) -> None:
-        e = XmlNode(name, attrs, at[-1])
-        at[-1].children.append(e)
-        at.append(e)
-
-    def end(name: str) -> None:
-        at.pop()
-
-    def text(data: str) -> None:
-        top = at[-1].children
-        if top and isinstance(top[-1], str):
-            top[-1] += data
-        else:
-            top.append(data)
+    """The tree below a nameless root. XML with a fault is read again leniently, so that what
+    comes after the fault isn't lost. A document that declares entities isn't read: its tree is
+    empty, which its converter reports."""
+    made = TreeBuilder()
 
     def refuse(*_: object) -> None:
-        raise expat.ExpatError("entities are declared")
+        raise ValueError("entities are declared")
 
     p = expat.ParserCreate()
-    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = start, end, text
+    p.buffer_text = True
+    p.StartElementHandler, p.EndElementHandler, p.CharacterDataHandler = made.start, made.end, made.run.append
     p.EntityDeclHandler = refuse
     try:
         p.Parse(data, True)
     except expat.ExpatError:
-        pass
-    return root
+        return lenient_xml(decode_part(data))
+    except ValueError:
+        return XmlNode("", {}, None)
+    return made.root
 
 
 class Package:

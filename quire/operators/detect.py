@@ -1,10 +1,9 @@
-"""Content types from bytes and hints. All but the directory of zip archives is built-in
-expressions, and only archives are sent to Python."""
+"""Content types from bytes and hints. All but the search in the directory of zip archives is
+built-in expressions; of archives only that directory is sent to Python, or windows of the two
+ends where there's none."""
 
 from __future__ import annotations
 
-import struct
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,24 +22,28 @@ IWORK_MARKS = (b".iwa", b"Index.zip", b"Metadata/DocumentIdentifier")
 PLAIN_EXTENSIONS = ("md", "markdown", "txt", "text")
 
 
-def central_directory(data: bytes) -> bytes | None:
-    """The bytes of an archive's directory; None if it can't be found by its end record."""
-    at = data.rfind(b"PK\x05\x06", max(0, len(data) - END_SIZE - END_COMMENT))
-    if at < 0 or at + END_SIZE > len(data):
-        return None
-    size, offset = struct.unpack_from("<II", data, at + 12)
-    if not size or 0xFFFFFFFF in (size, offset) or offset + size > len(data):
-        return None
-    return data[offset : offset + size]
+def zip_part(content: Column) -> Column:
+    """The bytes of an archive that name its members: its directory, as the end record gives
+    it, or else its first and last ZIP_WINDOW bytes."""
+    size = F.octet_length(content)
+    # as hexadecimal text, in which two characters are a byte, the last end record is found
+    tail = F.hex(F.substring(content, F.greatest(size - END_SIZE - END_COMMENT + 1, F.lit(1)), F.lit(END_SIZE + END_COMMENT)))
+    record = F.regexp_extract(tail, r"(?s)^(?:..)*(504B0506(?:..){18})", 1)
+
+    def number(at: int) -> Column:
+        digits = F.concat(*(F.substring(record, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0)))
+        return F.coalesce(F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("long"), F.lit(0))
+
+    length, offset = number(12), number(16)
+    whole = (length > 0) & (length != 0xFFFFFFFF) & (offset != 0xFFFFFFFF) & (offset + length <= size)
+    ends = F.when(size <= 2 * ZIP_WINDOW, content).otherwise(F.concat(F.substring(content, F.lit(1), F.lit(ZIP_WINDOW)), F.lit(bytearray(1)), F.substring(content, (size - ZIP_WINDOW + 1), F.lit(ZIP_WINDOW))))
+    return F.when(whole, F.substring(content, (offset + 1).cast("int"), length.cast("int"))).otherwise(ends)
 
 
-def zip_kind(data: bytes) -> tuple[str, bool]:
+def zip_kind(names: bytes) -> tuple[str, bool]:
     """An archive's kind, and whether it is laid out as an iWork package."""
-    where = central_directory(data)
-    if where is None:
-        where = data if len(data) <= 2 * ZIP_WINDOW else data[:ZIP_WINDOW] + b"\0" + data[-ZIP_WINDOW:]
-    kind = next((k for k, marks in ZIP_KINDS if any(m in where for m in marks)), "zip")
-    return kind, any(m in where for m in IWORK_MARKS)
+    kind = next((k for k, marks in ZIP_KINDS if any(m in names for m in marks)), "zip")
+    return kind, any(m in names for m in IWORK_MARKS)
 
 
 @F.arrow_udf(T.StructType([T.StructField("kind", T.StringType()), T.StructField("iwork", T.BooleanType())]))
@@ -91,7 +94,7 @@ def classify(df: DataFrame) -> DataFrame:
     content, ext, kin = F.col("content"), F.col("file_extension"), F.col("type_family")
     df = df.withColumn("charset", F.coalesce("charset", bom_charset(content)))
     is_zip = begins(content, b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08")
-    df = df.withColumn("_zip", _zip_kind(F.when(is_zip, content)))
+    df = df.withColumn("_zip", _zip_kind(F.when(is_zip, zip_part(content))))
     mime = base_mime(F.col("mime_type"))
     iwork = F.when(kin.isin("pages", "keynote"), kin).when(ext == "pages", "pages").when(ext == "key", "keynote").when(mime.isin(MIMES["pages"].split()), "pages").when(mime.isin(MIMES["keynote"].split()), "keynote")
     document = F.when(kin.isin("pdf", "docx", "xlsx", "pptx", "epub"), kin).when(ext.isin("pdf", "docx", "xlsx", "pptx", "epub"), ext)

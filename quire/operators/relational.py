@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.plans.lineage import settled
+
 
 def asof_runs(points: DataFrame, runs: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """points with the value of the run that holds at each: of the runs with the same ``by``,
@@ -40,12 +42,18 @@ def deck_order(edges: DataFrame, slides: DataFrame, deck: str = "deck") -> DataF
 
 
 def reachable(edges: DataFrame, roots: DataFrame, steps: int) -> DataFrame:
-    """(root, node, distance) of nodes within so many edges (source, target) of roots (root)."""
-    found = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance"))
-    edge = found
+    """(root, node, distance) of nodes within so many edges (source, target) of roots (root).
+
+    Each step goes on from the nodes that the one before found, and is settled, so that the
+    plan grows by a scan a step; steps end early when nothing new is found."""
+    edges = settled(edges.select("source", "target").distinct())
+    edge = settled(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("distance")).distinct())
+    found = edge
     for k in range(1, steps + 1):
         ahead = edge.join(edges, edge["node"] == edges["source"]).select("root", F.col("target").alias("node")).distinct()
-        edge = ahead.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k))
+        edge = settled(ahead.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(k)))
+        if edge.isEmpty():
+            break
         found = found.unionByName(edge)
     return found
 
@@ -63,16 +71,24 @@ def unique_names(images: DataFrame, doc: str = "doc_key") -> DataFrame:
     return own.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(doc, "name"))).where("_n = 1").drop("_n")
 
 
-def majority_style(paragraphs: DataFrame, runs: DataFrame, by: str = "doc_key") -> DataFrame:
+def majority_style(paragraphs: DataFrame, runs: DataFrame, by: str = "doc_key", block: int = 1024) -> DataFrame:
     """paragraphs (doc, start, end) with the style whose runs (doc, start, end, style) overlap
-    it most; of equal ones the first run's."""
-    p = paragraphs.withColumnsRenamed({"start": "p_start", "end": "p_end"})
-    r = runs.withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    both = p.join(r, by).where("r_start < p_end and r_end > p_start")
-    part = F.least("p_end", "r_end") - F.greatest("p_start", "r_start")
-    best = both.groupBy(by, "p_start", "p_end").agg(F.max_by("style", F.struct(part, -F.col("r_start"))).alias("style"))
-    out = p.join(best, [by, "p_start", "p_end"], "left")
-    return out.withColumnsRenamed({"p_start": "start", "p_end": "end"})
+    it most; of equal ones the first run's.
+
+    Both sides are cut into blocks of so many characters and meet in these only, so that no
+    document makes all its pairs; a run's parts in a paragraph are added up."""
+
+    def cut(df: DataFrame, side: str) -> DataFrame:
+        own = df.withColumnsRenamed({"start": f"{side}_start", "end": f"{side}_end"}).where(f"{side}_end > {side}_start")
+        last = F.floor((F.col(f"{side}_end") - 1) / block)
+        return own.withColumn("_block", F.explode(F.sequence(F.floor(F.col(f"{side}_start") / block), last)))
+
+    both = cut(paragraphs.select(by, "start", "end").distinct(), "p").join(cut(runs.select(by, "start", "end", "style"), "r"), [by, "_block"]).where("r_start < p_end and r_end > p_start")
+    low, high = F.greatest("p_start", "r_start", F.col("_block") * block), F.least("p_end", "r_end", (F.col("_block") + 1) * block)
+    parts = both.groupBy(by, "p_start", "p_end", "r_start", "r_end", "style").agg(F.sum(F.greatest(high - low, F.lit(0))).alias("part"))
+    best = parts.groupBy(by, "p_start", "p_end").agg(F.max_by("style", F.struct("part", -F.col("r_start"))).alias("style"))
+    best = best.withColumnsRenamed({"p_start": "start", "p_end": "end"})
+    return paragraphs.join(best, [by, "start", "end"], "left")
 
 
 def reading_order(boxes: DataFrame, by: str, height: float = 0.012) -> DataFrame:

@@ -346,11 +346,14 @@ def nav_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     def density(column: pa.Array) -> pa.Array:
         out = []
         for h in column.to_pylist():
-            nav = next(e for e in parse(h).body.descendants() if e.tag == "nav")
+            nav = next((e for e in parse(h or "").body.descendants() if e.tag == "nav"), None)
+            if nav is None:
+                out.append((None, 0))
+                continue
             letters = "".join(x.text() for x in nav.descendants() if x.tag == "a")
             whole = "".join(nav.text().split())
             out.append((link_density(nav) * len(nav.text()) / max(1, len(whole)) if letters == whole else -1.0, sum(e.tag == "a" for e in nav.descendants())))
-        return pa.StructArray.from_arrays([pa.array([round(d, 9) for d, _ in out]), pa.array([n for _, n in out], pa.int64())], names=["density", "links"])
+        return pa.StructArray.from_arrays([pa.array([None if d is None else round(d, 9) for d, _ in out], pa.float64()), pa.array([n for _, n in out], pa.int64())], names=["density", "links"])
 
     return table(spark, sf_dir, "pages").withColumn("d", density("html")).select("page_id", "d.density", "d.links")
 
@@ -399,13 +402,13 @@ def deck_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS s, CAST((n_nationkey * 3 + 1) % 25 AS BIGINT) AS t FROM nation UNION SELECT CAST(n_nationkey AS BIGINT), CAST((n_nationkey + 7) % 25 AS BIGINT) FROM nation),
-w AS (SELECT CAST(r_regionkey AS BIGINT) AS root, CAST(r_regionkey AS BIGINT) AS node, 0 AS d FROM region UNION SELECT root, t, d + 1 FROM w JOIN e ON node = s WHERE d < 3)
+w AS (SELECT CAST(r_regionkey AS BIGINT) AS root, CAST(r_regionkey AS BIGINT) AS node, 0 AS d FROM region UNION SELECT root, t, d + 1 FROM w JOIN e ON node = s WHERE d < 12)
 SELECT root, node, CAST(min(d) AS INTEGER) AS distance FROM w GROUP BY root, node""")
 def tile_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
     edges = n.select(F.col("k").alias("source"), ((F.col("k") * 3 + 1) % 25).alias("target")).union(n.select("k", (F.col("k") + 7) % 25)).distinct()
     roots = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("root"))
-    return relational.reachable(edges, roots, 3)
+    return relational.reachable(edges, roots, 12)
 
 
 @query("""WITH r AS (SELECT user_id, epoch_us(ts) * 1024 + event_id % 1024 AS at, CASE WHEN value > 50 THEN 'high' END AS style FROM events WHERE event_id % 5 = 0)

@@ -370,3 +370,17 @@ def test_scanner_keeps_quotes_and_loose_tags():
     assert list(Scanner('<a title="x>y')) == [(START, "a", ' title="x'), (TEXT, "y", "")]
     assert list(Scanner("1 < 2 <!-- <b> --> 3 <x")) == [(TEXT, "1 < 2 ", ""), (TEXT, " 3 <x", "")]
     assert list(Scanner('<a x=">"<p>"')) == [(START, "a", ' x=">"<p'), (TEXT, '"', "")]
+
+
+def test_faulty_xml_keeps_what_follows():
+    from quire.kernels.package import parse_xml
+
+    text = lambda xml: parse_xml(xml.encode()).text()
+    assert text("<a><p>one</p><p>two&nbsp;x</p><p>three</p></a>").replace("\xa0", " ") == "onetwo xthree"
+    assert text("<a><p>one<p>two</a> <b>three") == "onetwo three"
+    assert text("<a><p>1 &unknown; 2 & 3</q></p><![CDATA[<x>]]></a>") == "1 &unknown; 2 & 3<x>"
+    root = parse_xml(b'<w:a r:id="7" x=\'<\' y=bare><w:b/>&zip;<c k="&lt;"/></w:a>')
+    assert root.first("w:a").attrs == {"r:id": "7", "x": "<", "y": "bare"} and root.first("c").get("k") == "<"
+    assert [e.name for e in root.first("w:a").elements()] == ["w:b", "c"]
+    assert text("<!DOCTYPE a [<!ENTITY x 'y'>]><a>&x;</a>") == ""
+    assert len(text("<a>" + "<b>x&nope;" * 50_000)) == 350_000
