@@ -3,44 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans.lineage import settled, shared_dir  # noqa: F401
+
+
 #: Any odd number serves as base of the polynomial hash modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it in spark.checkpoint.dir;
-    where it is unset, that of the context, or, if the master is local (tests), a temporary one
-    that is made and set. A cluster without such a folder is refused: executors couldn't see
-    each other's files."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    sc = spark.sparkContext._jsc.sc()
-    if not sc.getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
-    return sc.getCheckpointDir().get()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder, with its lineage cut."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def store_of(spark: SparkSession, path: str):
     """The JVM's path and the file system that holds it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
