@@ -4,7 +4,9 @@ same rows gives what must come out. All queries run over whole tables and whole
 
 from __future__ import annotations
 
+import functools
 import os
+import re
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -197,6 +199,10 @@ def converted(df: DataFrame) -> DataFrame:
     return quire.sections_of(quire.convert(df))
 
 
+def converted_as(df: DataFrame, **options) -> DataFrame:
+    return quire.sections_of(quire.convert(df, **options))
+
+
 @query("""SELECT p_brand AS sheet, '## ' || p_brand || chr(10) || chr(10) || '| name | type |' || chr(10) || '| --- | --- |' || string_agg(chr(10) || '| ' || p_name || ' | ' || p_type || '\\| |', '' ORDER BY p_partkey) || chr(10) AS markdown
 FROM part GROUP BY p_brand""")
 def xlsx_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,6 +277,69 @@ def iwork_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(d).select(F.col("doc_key").cast("long").alias("s_suppkey"), "markdown")
 
 
+@query("""SELECT o_orderkey, '# ' || o_orderpriority || chr(10) || chr(10) || '###### Sub' || chr(10) || chr(10) || '**' || o_custkey || '** and ***both***off' || chr(10) || chr(10) || '- item  ' || chr(10) || o_orderstatus || chr(10) || chr(10) ||
+'| a\\|<br>b |  |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || o_orderkey || ' |' || chr(10) || chr(10) || '[li\\[n\\]k](<http://h/(' || o_custkey || ')>)' || chr(10) || chr(10) ||
+'see[^fn2]![A dot](image1.png) end[^en5]' || chr(10) || chr(10) || 'boxed ' || o_custkey || chr(10) || chr(10) || '[^fn2]: note  ' || chr(10) || '    ' || o_custkey || chr(10) || '[^en5]: last' AS markdown,
+'word/media/image1.png' AS image, 'image/png' AS mime, base64(encode('PNG' || o_orderkey)) AS data FROM orders""")
+def docx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles, marks, list items, line breaks, merged cells, links, text boxes, foot- and
+    endnotes and images of a document an order."""
+
+    def run(text: str, props: str = "") -> str:
+        return f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{fixtures.xml_text(text)}</w:t></w:r>'
+
+    def document(key: int, customer: int, status: str, priority: str) -> bytes:
+        p = fixtures.docx_paragraph
+        body = p(priority, "Title") + p("Sub", "Heading9") + f"<w:p>{run(str(customer), '<w:b/>')}{run(' and ')}{run('both', '<w:b/><w:i/>')}{run('off', '<w:b w:val=' + chr(34) + '0' + chr(34) + '/>')}</w:p>"
+        body += f"<w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t><w:br/><w:t>{status}</w:t></w:r></w:p>"
+        body += f'<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p("a|")}{p("b")}</w:tc></w:tr><w:tr><w:tc>{p("1")}</w:tc><w:tc>{p(str(key))}</w:tc></w:tr></w:tbl>'
+        body += f'<w:p><w:hyperlink r:id="h">{run("li[n]k")}</w:hyperlink></w:p>'
+        box = f"<w:r><w:drawing><w:txbxContent>{p(f'boxed {customer}')}</w:txbxContent></w:drawing></w:r>"
+        body += f"<w:p><mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback></mc:AlternateContent></w:p>"
+        body += f'<w:p>{run("see")}<w:r><w:footnoteReference w:id="2"/></w:r><w:r><w:drawing><wp:docPr descr="A dot"/><a:blip r:embed="i"/></w:drawing></w:r>{run(" end")}<w:r><w:endnoteReference w:id="5"/></w:r></w:p>'
+        notes = f'<w:footnotes {fixtures.W}><w:footnote w:id="0" w:type="separator"><w:p>{run("x")}</w:p></w:footnote><w:footnote w:id="2"><w:p>{run("note")}<w:r><w:br/></w:r>{run(str(customer))}</w:p></w:footnote></w:footnotes>'
+        ends = f'<w:endnotes {fixtures.W}><w:endnote w:id="5"><w:p>{run("last")}</w:p></w:endnote></w:endnotes>'
+        rels = [("h", "x/hyperlink", f"http://h/({customer})"), ("i", "x/image", "media/image1.png")]
+        return fixtures.docx(body, rels, {"word/footnotes.xml": notes, "word/endnotes.xml": ends, "word/media/image1.png": f"PNG{key}".encode()})
+
+    o = table(spark, sf_dir, "orders")
+    d = o.select(F.col("o_orderkey").cast("string").alias("doc_key"), made(document, F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("content"))
+    out = quire.convert(d).withColumn("i", F.filter("sections", lambda x: x["kind"] == "image")[0])
+    return out.select(F.col("doc_key").cast("long").alias("o_orderkey"), quire.markdown_of(F.col("sections")).alias("markdown"), F.col("i.source_path").alias("image"), F.col("i.metadata")["mimeType"].alias("mime"), F.col("i.metadata")["base64"].alias("data"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Order **' || o_custkey || '** x' || chr(10) || chr(10) || '*' || o_orderstatus || '*' WHEN 1 THEN chr(8217) || o_orderstatus || ' ' || chr(8220) || o_custkey || chr(8221) || ' ' || chr(8364) || '!'
+WHEN 2 THEN 'a  ' || chr(10) || o_custkey || chr(9) || 'c' || chr(8212) || chr(160) || 'd-{}' ELSE chr(1055) || chr(1088) || ' ' || o_custkey || ' ' || chr(128512) END AS markdown FROM orders""")
+def rtf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks, escapes, special characters, code pages, surrogate pairs and destinations."""
+    c, st = F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    k = F.col("o_orderkey") % 4
+    zero = joined(r"{\rtf1{\fonttbl{\f0 Arial;}}{\*\gen x}{\footnote no\par}Order {\b ", c, r" }x\par\i ", st, r"\i0 }")
+    one = joined("{\\rtf1 \\" + "u8217?", st, r" \'93", c, "\\'94 \\uc2\\" + "u8364ab!}")
+    two = joined(r"{\rtf1 a\line ", c, r"\tab c\emdash\~d\_\{\}}")
+    three = joined(r"{\rtf1\ansicpg1251 \'cf\'f0 ", c, r" \u-10179?\u-8704?}")
+    text = F.when(k == 0, zero).when(k == 1, one).when(k == 2, two).otherwise(three)
+    d = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("doc_key"), text.cast("binary").alias("content"))
+    return converted(d).select(F.col("doc_key").cast("long").alias("o_orderkey"), "markdown")
+
+
+@query("""SELECT 'c' || c_custkey AS doc_key, 'csv' AS format, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || c_custkey || ' | ' || c_name || ', "' || c_mktsegment || '\\|" |' AS markdown FROM customer
+UNION ALL SELECT 's' || s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'plainText' WHEN 1 THEN 'json' WHEN 2 THEN 'xml' ELSE 'plainText' END, CASE s_suppkey % 4 WHEN 1 THEN '{"name": "' || s_name || '"}' WHEN 2 THEN '<s>' || s_name || '</s>' ELSE s_name || ' ' || chr(233) END FROM supplier""")
+def text_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV, plain, JSON and XML texts by their hints, some in other charsets."""
+    quoted = joined('key,name\r\n', F.col("c_custkey").cast("string"), ',"', F.col("c_name"), ', ""', F.col("c_mktsegment"), '|"""\r\n')
+    null = F.lit(None).cast("string")
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("doc_key"), F.lit("a.csv").alias("filename"), null.alias("mime_type"), null.alias("charset"), quoted.cast("binary").alias("content"))
+    k, name = F.col("s_suppkey") % 4, F.col("s_name")
+    plain = F.concat(name, F.lit(" é"))
+    content = F.when(k == 0, F.concat(F.lit(bytearray(b"\xff\xfe")), F.encode(plain, "UTF-16LE"))).when(k == 1, joined('{"name": "', name, '"}').cast("binary")).when(k == 2, joined("<s>", name, "</s>").cast("binary")).otherwise(F.encode(plain, "ISO-8859-1"))
+    file = F.when(k == 1, "a.json").when(k == 2, "b.xml").when(k == 0, "c.txt")
+    mime = F.when(k == 3, "text/plain; charset=latin1")
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("doc_key"), file.alias("filename"), mime.alias("mime_type"), null.alias("charset"), content.alias("content"))
+    out = quire.convert(c.unionByName(s))
+    return out.select("doc_key", F.col("detected_format").alias("format"), quire.markdown_of(F.col("sections")).alias("markdown"))
+
+
 # --- sections and rendering -----------------------------------------------------------------
 
 
@@ -329,6 +398,80 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quire.render(d, "plaintext").select("o_orderkey", "output")
 
 
+def said(template: str, **columns: str) -> str:
+    """SQL that fills a template; {name} stands for a column, line ends for themselves."""
+    out = []
+    for k, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        if k % 2:
+            out.append(columns[part])
+        elif part:
+            out += [" || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in part.split("\n"))]
+    return " || ".join(out)
+
+
+def filled(template: str, **columns: Column) -> Column:
+    """The same as a column."""
+    return F.concat(*(columns[part] if k % 2 else F.lit(part) for k, part in enumerate(re.split(r"\{(\w+)\}", template))))
+
+
+#: Every block and mark, with notes; and what the formats make of it.
+_RICH = "# {p} <b>\n\nx[^b] **{c} *i* d** & `y*<` [l*m*](u&v) ![i](<a b>)\nsecond[^a] again[^b] gone[^x]\n\n1. a\n   more\n1. b\n\n- c\n\n| h | k |\n| --- | :-: |\n| {s} | p\\|,q |\n\n> q\n> r\n\n```\n<&\n```\n---\n\n[^a]: A [^d]\n[^b]: B {c}\n[^c]: C\n[^d]: D"
+_RICH_HTML = """<!DOCTYPE html>
+<html>
+<head>
+<meta charset="utf-8">
+<title>a &amp; b</title>
+</head>
+<body>
+<h1>{p} &lt;b&gt;</h1>
+<p>x<sup class="footnote-ref"><a href="#fn-b">1</a></sup> <strong>{c} <em>i</em> d</strong> &amp; <code>y*&lt;</code> <a href="u&amp;v">l<em>m</em></a> <img src="a b" alt="i"><br>
+second<sup class="footnote-ref"><a href="#fn-a">2</a></sup> again<sup class="footnote-ref"><a href="#fn-b">1</a></sup> gone[^x]</p>
+<ol>
+<li>a more</li>
+<li>b</li>
+</ol>
+<ul>
+<li>c</li>
+</ul>
+<table>
+<thead>
+<tr><th>h</th><th>k</th></tr>
+</thead>
+<tbody>
+<tr><td>{s}</td><td>p|,q</td></tr>
+</tbody>
+</table>
+<blockquote>q<br>
+r</blockquote>
+<pre><code>&lt;&amp;</code></pre>
+<hr>
+<section class="footnotes">
+<hr>
+<ol>
+<li id="fn-b">B {c}</li>
+<li id="fn-a">A <sup class="footnote-ref"><a href="#fn-d">3</a></sup></li>
+<li id="fn-d">D</li>
+</ol>
+</section>
+</body>
+</html>"""
+_RICH_PLAIN = "{p} <b>\n\nx[1] {c} i d & y*< lm i\nsecond[2] again[1] gone[^x]\n\n1. a more\n2. b\n\n- c\n\nh\tk\n{s}\tp|,q\n\nq\nr\n\n<&\n\n---\n\n[1] B {c}\n[2] A [3]\n[3] D"
+_RICH_CSV = '# {p} <b>\nx[^b] {c} i d & y*< lm i\nsecond[^a] again[^b] gone[^x]\n1. a\nmore\n1. b\n- c\nh,k\n{s},"p|,q"\n> q\n> r\n<&\n---\n[^a]: A [^d]\n[^b]: B {c}\n[^c]: C\n[^d]: D'
+_RICH_XML = '<?xml version="1.0" encoding="UTF-8"?>\n<document title="a &amp; b" author="An &quot;author&quot;">\n  <section kind="body">\n    ' + _RICH.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;") + "\n  </section>\n</document>"
+_ORDER = {"p": "o_orderpriority", "c": "o_custkey", "s": "o_orderstatus"}
+
+
+@query(" UNION ALL ".join(f"SELECT o_orderkey, '{f}' AS format, {said(t, **_ORDER)} AS output FROM orders" for f, t in (("markdown", _RICH), ("html", _RICH_HTML), ("plaintext", _RICH_PLAIN), ("csv", _RICH_CSV), ("xml", _RICH_XML))))
+def render_rich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five formats of Markdown with every block, mark and note, for each order."""
+    null = F.lit(None).cast("string")
+    md = filled(_RICH, p=F.col("o_orderpriority"), c=F.col("o_custkey").cast("string"), s=F.col("o_orderstatus"))
+    body = F.struct(null.alias("id"), null.alias("title"), F.lit("body").alias("kind"), md.alias("markdown"), null.alias("source_path"), F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), null.alias("sheet_name"), F.lit(None).cast("int").alias("slide_number"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", F.lit("a & b").alias("title"), F.lit('An "author"').alias("author"), F.array(body).alias("sections"))
+    parts = [quire.render(d, f).select("o_orderkey", F.lit(f).alias("format"), "output") for f in ("markdown", "html", "plaintext", "csv", "xml")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # --- web pages ------------------------------------------------------------------------------
 
 
@@ -358,22 +501,79 @@ def nav_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").withColumn("d", density("html")).select("page_id", "d.density", "d.links")
 
 
-@query()
+_UNESCAPED = "regexp_replace(s, '&amp$', '&')"
+for _name, _char in [("quot", "'\"'"), ("middot", "chr(183)"), ("copy", "chr(169)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")]:
+    _UNESCAPED = f"replace({_UNESCAPED}, '&{_name};', {_char})"
+#: The blocks of the tables' pages: an advert, a heading, paragraphs in which a bold element is
+#: begun but never ended, so that it goes on in all later blocks, three at most of earlier ones.
+_BLOCKS = f"""WITH a AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*') AS site, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<nav>(.*?)</nav>', 1, 's') AS nav,
+  string_split_regex(replace(replace(replace(regexp_replace(html, '^.*?</nav>', '', 's'), '<h1>', '<p>' || chr(1)), '<div class="ad">', '<p>' || chr(2)), '<footer>', '<p>' || chr(2)), '<(/?p|/h1|/?div[^>]*|/?article|/?footer|/body|/html|!--[^>]*)>') AS g FROM pages),
+b AS (SELECT page_id, site, title, nav, unnest(g) AS p, unnest(range(1, len(g) + 1)) AS k FROM a),
+c AS (SELECT *, contains(p, '<b>') AS opens, coalesce(sum(contains(p, '<b>')::INT) OVER (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+  trim(regexp_replace([{_UNESCAPED} FOR s IN [regexp_replace(regexp_replace(p, '^[\x01\x02]', ''), '<[^>]*>', '', 'g')]][1], '[ \t\r\n\f]+', ' ', 'g')) AS t FROM b),
+d AS (SELECT *, repeat('**', CAST(least(before, 3) + opens::INT AS INTEGER)) AS mark, NOT starts_with(p, chr(2)) OR length(t) >= 25 AS own FROM c WHERE t <> ''),
+e AS (SELECT *, CASE WHEN starts_with(p, chr(1)) THEN '# ' || t ELSE mark || t || mark END AS m, [trim({_UNESCAPED}) FOR s IN [title]][1] AS name,
+  regexp_extract_all(nav, '<a href="[^"]*">[^<]*</a>') AS links FROM d),
+f AS (SELECT page_id, any_value(name) AS title, any_value(links) AS links, any_value(site) AS site, string_agg(t, ' ' ORDER BY k) FILTER (own) AS own_text, string_agg(t, ' ' ORDER BY k) AS text,
+  string_agg(m, chr(10) || chr(10) ORDER BY k) FILTER (own) AS own_md, string_agg(m, chr(10) || chr(10) ORDER BY k) AS md FROM e GROUP BY page_id),
+g AS (SELECT *, length(own_text) >= 140 AS article, array_to_string(['- [' || regexp_extract(s, '>([^<]*)<', 1) || '](' || site || regexp_extract(s, '"([^"]*)"', 1) || ')' FOR s IN links], chr(10)) || chr(10) || chr(10) || md AS body,
+  array_to_string([regexp_extract(s, '>([^<]*)<', 1) FOR s IN links], ' ') || ' ' || text AS body_text FROM f)"""
+
+
+@query(f"{_BLOCKS} SELECT page_id, title, 'parsed' AS status, CASE WHEN article THEN own_md ELSE body END AS output FROM g")
 def reader_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quire.export(pages_input(spark, sf_dir), "markdown")
     return out.select(F.col("doc_key").cast("long").alias("page_id"), "title", "status", "output")
 
 
-@query()
+@query(f"{_BLOCKS} SELECT page_id, title, 'parsed' AS status, body AS output FROM g")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quire.export(pages_input(spark, sf_dir), "markdown", enhance_readability=False)
     return out.select(F.col("doc_key").cast("long").alias("page_id"), "title", "status", "output")
 
 
-@query()
+@query(f"{_BLOCKS} SELECT page_id, title, length(CASE WHEN article THEN own_text ELSE body_text END) AS length, CASE WHEN article THEN own_text ELSE body_text END AS text FROM g")
 def readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "pages").withColumn("r", quire.readable(F.col("html")))
-    return r.select("page_id", "r.title", "r.length", F.col("r.text_content").alias("text"))
+    return r.select("page_id", "r.title", F.col("r.length").cast("long").alias("length"), F.col("r.text_content").alias("text"))
+
+
+def web_input(df: DataFrame, key: Column, page: Column, url: Column | None = None) -> DataFrame:
+    return df.select(key.cast("string").alias("doc_key"), (F.lit(None).cast("string") if url is None else url).alias("url"), F.concat(F.lit("<html><head><title>T</title></head><body>"), page).cast("binary").alias("content"))
+
+
+def joined(*parts: str | Column) -> Column:
+    return F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts))
+
+
+@query("""SELECT o_orderkey, '## ' || o_orderpriority || chr(10) || chr(10) || 'Total **' || o_custkey || '** and *' || o_orderstatus || '* in `x y`  ' || chr(10) || 'next [link ' || o_custkey || '](http://h.example/d/p/' || o_custkey || '?q#f) ![alt](http://h.example/d/i.png)' || chr(10) || chr(10) ||
+'- one' || chr(10) || '- two' || chr(10) || '  ' || chr(10) || '  1. ' || o_custkey || chr(10) || '  2. last' || chr(10) || chr(10) || '> quoted ' || o_orderstatus || chr(10) || '>' || chr(10) || '> more' || chr(10) || chr(10) ||
+'```' || chr(10) || 'a  b' || chr(10) || ' ' || o_custkey || chr(10) || '```' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '| key | v\\|al |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderkey || ' |  |' AS markdown FROM orders""")
+def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of headings, marks, links, images, nested lists, quotes, code and tables."""
+    c, s = F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    page = joined("<h2> ", F.col("o_orderpriority"), "\n</h2><script>no()</script><p>Total\n <strong>", c, "</strong> and <i> ", s, " </i> in <code>x  y</code><br>next <a href='p/", c, "?q#f'>link\t", c, "</a> <img alt=alt src=i.png><img src=''></p><b></b>")
+    page = joined(page, "<ul><li>one<li>two<ol><li>", c, "</li><li></li><li>last</ol></ul><blockquote><p>quoted ", s, "</p><div>more</div></blockquote><pre><code>a  b\n ", c, "</code></pre><hr>")
+    page = joined(page, "<table><thead><tr><th>key<th>v|al</thead><tr><td>", F.col("o_orderkey").cast("string"), "</table><h3> </h3>")
+    d = web_input(table(spark, sf_dir, "orders"), F.col("o_orderkey"), page, F.lit("http://h.example/d/x.html"))
+    return converted_as(d, enhance_readability=False).select(F.col("doc_key").cast("long").alias("o_orderkey"), "markdown")
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 'Side note with more than enough characters ' || doc_id || chr(10) || chr(10) ELSE '' END || '# Heading' || CASE WHEN doc_id % 3 = 2 AND length(t) < 25 THEN '' ELSE chr(10) || chr(10) || t END || chr(10) || chr(10) || 'Second, part, of, it, with, commas, and, more, than, enough, text, to, be, kept, in, any, case, as, a, paragraph, of, one, hundred, and, forty, characters.' AS markdown,
+ 'Author ' || doc_id AS author FROM (SELECT doc_id, {_PLAIN_SQL} AS t FROM documents)""")
+def reader_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of all documents among what readers don't want: elements by tag and by name,
+    links, short blocks; every third page has no article but for its body."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", r"[^\p{L}\p{N}.,;:@&<>]", " "), " +", " "))
+    k = F.col("doc_id").cast("string")
+    noise = joined("<nav><p>Some, words, of, navigation, that, are, long, enough, ", k, "</p></nav><div class='sidebar-box'><p>A side bar of many, many, many, many, words, that, is, out</p></div><form><p>Search, for, anything, you, would, like, to, find</p></form>")
+    links = "<div><a href=1>First other story</a> <a href=2>Second other story</a></div>"
+    article = joined("<h1>Heading</h1><p>Text ", X.escape_html(text), "</p><p>Second, part, of, it, with, commas, and, more, than, enough, text, to, be, kept, in, any, case, as, a, paragraph, of, one, hundred, and, forty, characters.</p>")
+    mode = F.col("doc_id") % 3
+    page = F.when(mode == 2, joined(noise, "<p>Side note with more than enough characters ", k, "</p>", article)).otherwise(joined(noise, links, "<div class=", F.when(mode == 0, "post").otherwise("'comment content'"), ">", article, "</div><p>short</p><aside>", k, "</aside>"))
+    head = joined("<meta name=author content='Author ", k, "'>")
+    d = web_input(table(spark, sf_dir, "documents"), F.col("doc_id"), joined(head, page))
+    return quire.convert(d).select(F.col("doc_key").cast("long").alias("doc_id"), quire.markdown_of(F.col("sections")).alias("markdown"), "author")
 
 
 # --- states and relations -------------------------------------------------------------------
