@@ -12,8 +12,8 @@ _HOME = {
     "quire.operators.registry": ("Converter", "Registry", "default_registry"),
     "quire.operators.render": ("exported_content", "render"),
     "quire.operators.sanitize": ("sanitize_sections",),
-    "quire.plans.pipeline": ("convert_folder", "export", "parse_documents", "write_exports"),
-    "quire.sources.files": ("fetch_urls", "new_documents", "read_files"),
+    "quire.plans.pipeline": ("convert_folder", "documents", "export", "parse_documents", "write_exports"),
+    "quire.sources.files": ("fetch", "fetch_urls", "new_documents", "read_files"),
 }
 _WHERE = {name: module for module, names in _HOME.items() for name in names}
 __all__ = sorted(_WHERE)

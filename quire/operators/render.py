@@ -57,7 +57,7 @@ def render(df: DataFrame, format: str = "markdown") -> DataFrame:
 
 def exported_content(df: DataFrame, format: str = "markdown") -> DataFrame:
     """df with exported_content (array of strings): for Markdown one for each section that
-    isn't an image, for other formats one."""
+    isn't an image, for other formats one, or none where there's nothing to render."""
     if format == "markdown":
         return df.withColumn("exported_content", section_texts(F.col("sections")))
-    return render(df, format).withColumn("exported_content", F.array("output")).drop("format", "output")
+    return render(df, format).withColumn("exported_content", F.array_compact(F.array("output"))).drop("format", "output")

@@ -10,7 +10,7 @@ from quire.operators.convert import convert
 from quire.operators.registry import Registry
 from quire.operators.render import exported_content, render
 from quire.plans.schema import FAILED, PARSED
-from quire.sources.files import read_files
+from quire.sources.files import fetch, read_files
 
 
 def export(df: DataFrame, format: str = "markdown", registry: Registry | None = None, **options) -> DataFrame:
@@ -35,6 +35,12 @@ def parse_documents(df: DataFrame, format: str = "markdown", registry: Registry
     return out.withColumn("status", F.when(F.col("error_code").isNull(), PARSED).otherwise(FAILED)).drop("_earlier", "_bare", "_container")
 
 
+def documents(spark: SparkSession, addresses: list[str], format: str = "markdown", registry: Registry | None = None, **options) -> DataFrame:
+    """Addresses of files, folders and web pages, fetched by their scheme, converted and
+    rendered, with the status of each; folders come with what they hold."""
+    return parse_documents(fetch(spark, addresses), format, registry, **options)
+
+
 def convert_folder(spark: SparkSession, path: str, format: str = "markdown", registry: Registry | None = None, **options) -> DataFrame:
     """All files below a folder, converted and rendered."""
     files = read_files(spark, path).drop("status", "error_code")

@@ -198,6 +198,44 @@ def test_fetch_from_a_local_server(spark):
     server.shutdown()
 
 
+def test_documents_by_scheme(spark, folder):
+    asked = [str(folder), f"file://{folder}/a.txt", str(folder / "none.txt"), "nosuch://h/x.txt", "http://127.0.0.1:1/x.html", str(folder)]
+    rows = quire.documents(spark, asked, "plaintext").collect()
+    out = {(r.doc_key.removeprefix("file:").rstrip("/").removeprefix("//").removeprefix(str(folder)), r.parent_key): (r.status, r.error_code, r.exported_content) for r in rows}
+    assert len(rows) == 9 - 1 and out[("", None)] == ("parsed", None, [])
+    assert out[("/a.txt", str(folder))] == ("parsed", None, ["text"]) and out[("/sub/b.csv", str(folder))] == ("parsed", None, ["x\ty"])
+    assert out[("/bad.docx", str(folder))][:2] == ("failed", "fileCorrupted") and out[("/none.txt", None)][:2] == ("failed", "noAccess")
+    assert out[("nosuch://h/x.txt", None)][:2] == ("failed", "invalidURL") and out[("http://127.0.0.1:1/x.html", "http://127.0.0.1:1")][:2] == ("failed", "noAccess")
+
+
+def test_reachable_within_many_steps(spark):
+    from quire.operators.relational import reachable
+
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(5, 2), (5, 2), (3, 9)], "source int, target int")
+    out = {r.node: r.distance for r in reachable(edges, spark.createDataFrame([(0,)], "root int"), 12).collect()}
+    assert out == {**{k: k for k in range(9)}, 9: 4, 10: 5, 11: 6, 12: 7, 13: 8, 14: 9, 15: 10, 16: 11, 17: 12}
+
+
+def test_majority_style_over_blocks(spark):
+    """Long and short runs and paragraphs, cut into small blocks, against plain Python."""
+    import random
+
+    from quire.operators.relational import majority_style
+
+    rng = random.Random(3)
+    paragraphs, runs = [], []
+    for d in range(6):
+        cuts = sorted(rng.sample(range(400), 12))
+        paragraphs += [(d, a, b) for a, b in zip(cuts, cuts[1:])]
+        cuts = sorted(rng.sample(range(400), 25))
+        runs += [(d, a, b, rng.choice("xyz")) for a, b in zip(cuts, cuts[1:])]
+    out = majority_style(spark.createDataFrame(paragraphs, "doc_key int, start int, end int"), spark.createDataFrame(runs, "doc_key int, start int, end int, style string"), block=16)
+    got = {(r.doc_key, r.start): r.style for r in out.collect()}
+    for d, a, b in paragraphs:
+        best = max(((min(b, y) - max(a, x), -x, s) for k, x, y, s in runs if k == d and x < b and y > a), default=(0, 0, None))
+        assert got[d, a] == best[2]
+
+
 def test_stream_gives_what_a_batch_gives(spark, folder, tmp_path_factory):
     from quire.streaming.stream import export_stream, read_file_stream
 
