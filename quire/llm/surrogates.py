@@ -55,11 +55,12 @@ PATTERNS = {
     "ip6": r"(?<![0-9A-Za-z:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:])",
     "phone": r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9]|\.[0-9])|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
     r"|(?<![0-9.,-])[2-9][0-9]{2} [2-9][0-9]{2} [0-9]{4}(?![0-9-])|(?<![0-9.,-])0[1-9](?:(?: [0-9]{2}){4}|(?:\.[0-9]{2}){4}|(?:-[0-9]{2}){4})(?![ .-]?[0-9])|(?<![0-9.,-])0[1-9][0-9]{1,3}[ /][0-9]{6,8}(?![0-9])",
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{'|'.join(FIRST['m'] + FIRST['f'])})(?: {_NAME}){{1,2}})(?!\p{{L}})",
+    "name": rf"(?<!\p{{L}})(?=\p{{Lu}})(?:(?:{_TITLE})\.? {_NAME}(?: {_NAME}){{0,2}}|(?:{'|'.join(FIRST['m'] + FIRST['f'])})(?: {_NAME}){{1,2}})(?!\p{{L}})",
 }
 UNION = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: One of these characters or words stands in every entity.
-HINT = r"[0-9@]|::|" + f"(?:{'|'.join([_TITLE, *FIRST['m'], *FIRST['f']])})[. ]"
+#: One of these characters or words stands in every entity. Words are looked for only where a
+#: capital letter begins one, as most of a text is passed over by that.
+HINT = r"[0-9@]|::|(?<!\p{L})(?=\p{Lu})" + f"(?:{'|'.join([_TITLE, *FIRST['m'], *FIRST['f']])})[. ]"
 
 #: Surrogate given names by script and gender; surnames are built from syllables.
 GIVEN = {
