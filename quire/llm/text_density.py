@@ -160,6 +160,10 @@ def set_aside(nodes: list[Node]) -> None:
                 n.aside = not plain or plain <= (0.9 if n.named == "thread" else 0.5) * (text[0] - links[0])
 
 
+#: Names under which the places of scopes' elements are kept as well.
+SCOPES = {t: tuple(["#p"] * (t in P_SCOPE) + ["#end"] * (t in END_SCOPE)) for t in P_SCOPE | END_SCOPE}
+
+
 class Open:
     """The open elements, with the places of each tag among them, so that none is searched for."""
 
@@ -168,22 +172,25 @@ class Open:
         self.places: dict[str, list[int]] = defaultdict(list)
 
     def push(self, node: Node) -> None:
-        for name in self.names(node.tag):
-            self.places[name].append(len(self.nodes))
+        here = len(self.nodes)
+        self.places[node.tag].append(here)
+        for name in SCOPES.get(node.tag, ()):
+            self.places[name].append(here)
         self.nodes.append(node)
 
-    @staticmethod
-    def names(tag: str) -> list[str]:
-        return [tag] + ["#p"] * (tag in P_SCOPE) + ["#end"] * (tag in END_SCOPE)
-
     def last(self, *names: str) -> int:
         """The innermost place of any of the names; 0 if there's none."""
-        return max(own[-1] if (own := self.places.get(n)) else 0 for n in names)
+        found = 0
+        for n in names:
+            if (own := self.places.get(n)) and own[-1] > found:
+                found = own[-1]
+        return found
 
     def cut(self, k: int) -> None:
         """Closes the elements from place k on."""
         for node in self.nodes[k:]:
-            for name in self.names(node.tag):
+            self.places[node.tag].pop()
+            for name in SCOPES.get(node.tag, ()):
                 self.places[name].pop()
         del self.nodes[k:]
 
