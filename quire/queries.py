@@ -109,6 +109,15 @@ def sanitize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quire.sanitize(t).alias("clean"), F.char_length(t).cast("long").alias("n_before"))
 
 
+@query("SELECT doc_id, nfc_normalize('e' || chr(769) || text || ' x') AS markdown FROM documents")
+def sanitize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with characters that are cleaned, converted with the clean-up switched on."""
+    t = F.replace(F.replace("text", F.lit(" "), F.lit(chr(160))), F.lit("\n"), F.lit("\r\n"))
+    t = F.concat(F.lit("e" + chr(769)), t, F.lit(chr(8203) + chr(7) + chr(65279) + chr(8232) + "x"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_key"), F.lit("a.txt").alias("filename"), t.cast("binary").alias("content"))
+    return converted_as(d, sanitize_unicode=True).select(F.col("doc_key").cast("long").alias("doc_id"), "markdown")
+
+
 @query(r"SELECT doc_id, replace(replace(replace(text, 'e', '\|'), '\', '\\'), '|', '\|') AS escaped, replace(text, 'e', '\|') AS back FROM documents")
 def escape_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.replace("text", F.lit("e"), F.lit("\\|"))
@@ -277,6 +286,58 @@ def iwork_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return converted(d).select(F.col("doc_key").cast("long").alias("s_suppkey"), "markdown")
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_orderpriority AS p, CAST(o_custkey AS VARCHAR) AS c FROM orders)
+SELECT o_orderkey, 0 AS ordinal, 'body' AS kind, '### ' || p || chr(10) || chr(10) || 'Some **' || c || '** text' AS markdown FROM o
+UNION ALL SELECT o_orderkey, 1, 'table', '| h\\| | ' || c || '.5 |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| 2001-01-02 |  |  |' FROM o
+UNION ALL SELECT o_orderkey, 2, 'body', 'after [link](<http://x/(' || c || ')>) end' FROM o""")
+def pages_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inherited paragraph and character styles, links, an inline table and an empty
+    attachment of a Pages document an order."""
+    import struct
+
+    fx = fixtures
+
+    def document(title: str, customer: int) -> bytes:
+        c = str(customer)
+        bold = len(title) + 6
+        first = bold + len(c) + 6
+        link = first + 8
+        text = f"{title}\nSome {c} text ￼\nafter link￼ end"
+        runs = fx.run_table(5, [(0, 20), (len(title) + 1, 22)]) + fx.run_table(8, [(bold, 21), (bold + len(c), None)])
+        runs += fx.run_table(9, [(first, 30), (link + 4, 31)]) + fx.run_table(11, [(link, 40), (link + 4, None)])
+        body = fx.iwa_object(1, 2001, fx.storage(text, 0, runs)) + fx.iwa_object(2, 2001, fx.storage("header", 1))
+        body += fx.iwa_object(20, 2025, fx.style(None, parent=23)) + fx.iwa_object(23, 2025, fx.style("Heading 2")) + fx.iwa_object(22, 2025, fx.style("Body"))
+        body += fx.iwa_object(21, 2021, fx.style(None, parent=24, italic=False)) + fx.iwa_object(24, 2021, fx.style(None, None, True, True))
+        body += fx.iwa_object(40, 2032, fx.bytes_field(2, f"http://x/({c})".encode())) + fx.iwa_object(30, 2003, b"", [50]) + fx.iwa_object(31, 2003, b"", [])
+        rows = [[fx.cell(3, (0).to_bytes(4, "little")), fx.cell(2, fx.decimal_cell(customer * 10 + 5, -1)), None], [fx.cell(5, struct.pack("<d", 86400.0)), None, fx.cell(7, b"")]]
+        return fx.iwork({"Index/Document.iwa": body, "Index/Tables/T.iwa": fx.table_objects(50, 51, 52, rows, ["h|"])}, nested=customer % 2 == 1)
+
+    o = table(spark, sf_dir, "orders")
+    d = o.select(F.col("o_orderkey").cast("string").alias("doc_key"), F.lit("a.pages").alias("filename"), made(document, F.col("o_orderpriority"), F.col("o_custkey")).alias("content"))
+    return converted(d).select(F.col("doc_key").cast("long").alias("o_orderkey"), "ordinal", "kind", "markdown")
+
+
+@query("""SELECT c_custkey, 0 AS ordinal, 'slide' AS kind, 1 AS slide, 'a ' || c_name AS markdown FROM customer
+UNION ALL SELECT c_custkey, 1, 'slide', 2, 'b ' || c_mktsegment FROM customer
+UNION ALL SELECT c_custkey, 2, 'table', 2, '| ' || c_custkey || ' | ' || c_nationkey || ' |' || chr(10) || '| --- | --- |' FROM customer""")
+def keynote_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decks without a list of slides, which go by their files' numbers; notes and masters are
+    left out, a slide's table comes with it and a master's doesn't."""
+    fx = fixtures
+
+    def slide(who: int, text: str, refs: list[int]) -> bytes:
+        return fx.iwa_object(who, 5, b"", refs) + fx.iwa_object(who + 500, 2001, fx.storage(text, 0)) + fx.iwa_object(who + 600, 2001, fx.storage("notes", 4))
+
+    def deck(key: int, name: str, segment: str, nation: int) -> bytes:
+        rows = [[fx.cell(3, (0).to_bytes(4, "little")), fx.cell(2, fx.decimal_cell(nation, 0))]]
+        master = fx.iwa_object(90, 5, b"", [50]) + fx.iwa_object(91, 2001, fx.storage("master"))
+        return fx.iwork({"Index/Slide-10.iwa": slide(10, f"b {segment}", [50]), "Index/Slide-2.iwa": slide(2, f"a {name}", [90]), "Index/MasterSlide-1.iwa": master, "Index/T.iwa": fx.table_objects(50, 51, 52, rows, [str(key)])})
+
+    c = table(spark, sf_dir, "customer")
+    d = c.select(F.col("c_custkey").cast("string").alias("doc_key"), F.lit("a.key").alias("filename"), made(deck, F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("content"))
+    return converted(d).select(F.col("doc_key").cast("long").alias("c_custkey"), "ordinal", "kind", F.col("slide_number").alias("slide"), "markdown")
+
+
 @query("""SELECT o_orderkey, '# ' || o_orderpriority || chr(10) || chr(10) || '###### Sub' || chr(10) || chr(10) || '**' || o_custkey || '** and ***both***off' || chr(10) || chr(10) || '- item  ' || chr(10) || o_orderstatus || chr(10) || chr(10) ||
 '| a\\|<br>b |  |' || chr(10) || '| --- | --- |' || chr(10) || '| 1 | ' || o_orderkey || ' |' || chr(10) || chr(10) || '[li\\[n\\]k](<http://h/(' || o_custkey || ')>)' || chr(10) || chr(10) ||
 'see[^fn2]![A dot](image1.png) end[^en5]' || chr(10) || chr(10) || 'boxed ' || o_custkey || chr(10) || chr(10) || '[^fn2]: note  ' || chr(10) || '    ' || o_custkey || chr(10) || '[^en5]: last' AS markdown,

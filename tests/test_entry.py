@@ -63,3 +63,17 @@ def test_stands_without_llm(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
+def test_entry_hides_no_broken_import(tmp_path):
+    """Only the absence of the subpackage is taken quietly."""
+    (tmp_path / "quire" / "llm").mkdir(parents=True)
+    for name in os.listdir(os.path.join(ROOT, "quire")):
+        if name != "llm":
+            os.symlink(os.path.join(ROOT, "quire", name), tmp_path / "quire" / name)
+    os.symlink(os.path.join(ROOT, "__spark_entry__.py"), tmp_path / "__spark_entry__.py")
+    (tmp_path / "quire" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "quire" / "llm" / "queries.py").write_text("import no_such_module\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert out.returncode and "no_such_module" in out.stderr
