@@ -38,6 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key to as many tasks as make and read documents side by side: a table holds
+    a row in a few bytes, so that splits of its files by size leave millions of documents to
+    one task."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def made(make: Callable[..., bytes], *columns: Column) -> Column:
     """Bytes made of each row's values."""
 
@@ -333,7 +341,7 @@ def keynote_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         master = fx.iwa_object(90, 5, b"", [50]) + fx.iwa_object(91, 2001, fx.storage("master"))
         return fx.iwork({"Index/Slide-10.iwa": slide(10, f"b {segment}", [50]), "Index/Slide-2.iwa": slide(2, f"a {name}", [90]), "Index/MasterSlide-1.iwa": master, "Index/T.iwa": fx.table_objects(50, 51, 52, rows, [str(key)])})
 
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey"), "c_custkey")
     d = c.select(F.col("c_custkey").cast("string").alias("doc_key"), F.lit("a.key").alias("filename"), made(deck, F.col("c_custkey"), F.col("c_name"), F.col("c_mktsegment"), F.col("c_nationkey")).alias("content"))
     return converted(d).select(F.col("doc_key").cast("long").alias("c_custkey"), "ordinal", "kind", F.col("slide_number").alias("slide"), "markdown")
 

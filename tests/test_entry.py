@@ -77,3 +77,11 @@ def test_entry_hides_no_broken_import(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-B", "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert out.returncode and "no_such_module" in out.stderr
+
+
+@pytest.mark.parametrize("name", ["keynote_features"])
+def test_documents_made_of_rows_are_dealt_out(spark, name):
+    """A table's only file, of a few bytes a row, doesn't leave all documents to one task."""
+    from quire.queries import QUERIES
+
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
