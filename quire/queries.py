@@ -5,9 +5,10 @@ same rows gives what must come out. All queries run over whole tables and whole
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -223,10 +224,17 @@ def converted_as(df: DataFrame, **options) -> DataFrame:
 @query("""SELECT p_brand AS sheet, '## ' || p_brand || chr(10) || chr(10) || '| name | type |' || chr(10) || '| --- | --- |' || string_agg(chr(10) || '| ' || p_name || ' | ' || p_type || '\\| |', '' ORDER BY p_partkey) || chr(10) AS markdown
 FROM part GROUP BY p_brand""")
 def xlsx_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))), lambda x: F.array(x["p_name"], F.concat(x["p_type"], F.lit("|"))))
-    books = table(spark, sf_dir, "part").groupBy("p_brand").agg(rows.alias("rows"))
-    book = made(lambda name, rows: fixtures.xlsx({name: [["name", "type"], *rows]}), F.col("p_brand"), F.col("rows"))
-    return converted(books.select(F.col("p_brand").alias("doc_key"), book.alias("content"))).select(F.col("sheet_name").alias("sheet"), "markdown")
+    """A workbook a brand. The rows of a brand go to its task sorted, and no row holds a brand."""
+
+    def books(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        for brand, own in itertools.groupby(rows, lambda r: r[0]):
+            book = fixtures.xlsx({brand: itertools.chain([("name", "type")], ((name, kind + "|") for _, name, kind in own))})
+            yield pa.RecordBatch.from_arrays([pa.array([brand], pa.string()), pa.array([book], pa.binary())], names=["doc_key", "content"])
+
+    part = spread(table(spark, sf_dir, "part").select("p_brand", "p_name", "p_type", "p_partkey"), "p_brand").sortWithinPartitions("p_brand", "p_partkey", "p_name", "p_type")
+    made_of = part.select("p_brand", "p_name", "p_type").mapInArrow(books, "doc_key string, content binary")
+    return converted(made_of).select(F.col("sheet_name").alias("sheet"), "markdown")
 
 
 _PARAGRAPHS = "array_to_string([trim(x, ' ' || chr(9)) FOR x IN string_split(text, chr(10)) IF trim(x, ' ' || chr(9)) <> ''], chr(10) || chr(10))"

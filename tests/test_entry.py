@@ -85,3 +85,10 @@ def test_documents_made_of_rows_are_dealt_out(spark, name):
     from quire.queries import QUERIES
 
     assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_no_row_holds_a_workbook_of_cells(spark, capsys):
+    from quire.queries import QUERIES
+
+    QUERIES["xlsx_sheets"](spark, SF).explain()
+    assert "collect_list" not in capsys.readouterr().out

@@ -384,3 +384,23 @@ def test_faulty_xml_keeps_what_follows():
     assert [e.name for e in root.first("w:a").elements()] == ["w:b", "c"]
     assert text("<!DOCTYPE a [<!ENTITY x 'y'>]><a>&x;</a>") == ""
     assert len(text("<a>" + "<b>x&nope;" * 50_000)) == 350_000
+
+
+def test_rows_of_a_sheet_without_its_tree():
+    """A sheet's memory is that of its texts, not of a tree; faults and nesting read as before."""
+    import tracemalloc
+
+    from quire.kernels.package import each_of, parse_xml
+    from quire.kernels.xlsx import convert_xlsx
+
+    odd = [b"<a><row x='1'>t<v>1</v></row><b><ROW/><row>u<row>v</row>w</row></b></a>", b"<a><row>1</row><row>&nbsp;2<v>", b"<!DOCTYPE a [<!ENTITY e 'x'>]><a><row>&e;</row></a>", b"", b"<row/>"]
+    for part in odd:
+        assert each_of(part, "row", lambda e: (e.name, e.attrs, e.text())) == [(e.name, e.attrs, e.text()) for e in parse_xml(part).all("row")]
+    book = fx.xlsx({"s": [[f"name {k}", "kind"] for k in range(4000)]})
+    tracemalloc.start()
+    try:
+        (s,) = convert_xlsx(book, Info()).sections
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert s.markdown.count("\n") == 4003 and peak < 5e6
