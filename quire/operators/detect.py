@@ -26,18 +26,27 @@ def zip_part(content: Column) -> Column:
     """The bytes of an archive that name its members: its directory, as the end record gives
     it, or else its first and last ZIP_WINDOW bytes."""
     size = F.octet_length(content)
-    # as hexadecimal text, in which two characters are a byte, the last end record is found
+    # as hexadecimal text, in which two characters are a byte, the last end record is found; one
+    # without a comment, as nearly all are, ends the file, and nothing is searched
+    last = F.substring(content, size - END_SIZE + 1, F.lit(END_SIZE))
     tail = F.hex(F.substring(content, F.greatest(size - END_SIZE - END_COMMENT + 1, F.lit(1)), F.lit(END_SIZE + END_COMMENT)))
-    record = F.regexp_extract(tail, r"(?s)^(?:..)*(504B0506(?:..){18})", 1)
+    ended = (size >= END_SIZE) & (F.substring(last, F.lit(1), F.lit(4)) == F.lit(bytearray(b"PK\x05\x06")))
+    found = F.when(ended, F.hex(last)).otherwise(F.regexp_extract(tail, r"(?s)^(?:..)*(504B0506(?:..){18})", 1))
 
-    def number(at: int) -> Column:
+    def number(record: Column, at: int) -> Column:
         digits = F.concat(*(F.substring(record, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0)))
         return F.coalesce(F.conv(F.nullif(digits, F.lit("")), 16, 10).cast("long"), F.lit(0))
 
-    length, offset = number(12), number(16)
-    whole = (length > 0) & (length != 0xFFFFFFFF) & (offset != 0xFFFFFFFF) & (offset + length <= size)
     ends = F.when(size <= 2 * ZIP_WINDOW, content).otherwise(F.concat(F.substring(content, F.lit(1), F.lit(ZIP_WINDOW)), F.lit(bytearray(1)), F.substring(content, (size - ZIP_WINDOW + 1), F.lit(ZIP_WINDOW))))
-    return F.when(whole, F.substring(content, (offset + 1).cast("int"), length.cast("int"))).otherwise(ends)
+
+    def part(place: Column) -> Column:
+        length, offset = place["length"], place["offset"]
+        whole = (length > 0) & (length != 0xFFFFFFFF) & (offset != 0xFFFFFFFF) & (offset + length <= size)
+        return F.when(whole, F.substring(content, (offset + 1).cast("int"), length.cast("int"))).otherwise(ends)
+
+    # bound by lambdas, so that the record is looked for once and not at each of its bytes
+    places = F.transform(F.array(found), lambda r: F.struct(number(r, 12).alias("length"), number(r, 16).alias("offset")))
+    return F.transform(places, part)[0]
 
 
 def zip_kind(names: bytes) -> tuple[str, bool]:

@@ -379,7 +379,7 @@ def docx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         rels = [("h", "x/hyperlink", f"http://h/({customer})"), ("i", "x/image", "media/image1.png")]
         return fixtures.docx(body, rels, {"word/footnotes.xml": notes, "word/endnotes.xml": ends, "word/media/image1.png": f"PNG{key}".encode()})
 
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey")
     d = o.select(F.col("o_orderkey").cast("string").alias("doc_key"), made(document, F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("content"))
     out = quire.convert(d).withColumn("i", F.filter("sections", lambda x: x["kind"] == "image")[0])
     return out.select(F.col("doc_key").cast("long").alias("o_orderkey"), quire.markdown_of(F.col("sections")).alias("markdown"), F.col("i.source_path").alias("image"), F.col("i.metadata")["mimeType"].alias("mime"), F.col("i.metadata")["base64"].alias("data"))

@@ -260,3 +260,28 @@ def test_functions_in_sql(spark):
     assert "readable" in quire.register(spark)
     row = spark.sql("SELECT csv_rows('a,\"b\"\"\"\\nc') AS r, csv_text(array(array('x,', null))) AS t, sanitize_unicode(concat('a', chr(160))) AS u, html_markdown('<b>x</b> <a href=y>z</a>', 'http://h/') AS m, readable('<title>T</title>few').title AS h, readable(null) AS n").first()
     assert (row.r, row.t, row.u, row.m, row.h, row.n) == ([["a", 'b"'], ["c"]], '"x,",', "a ", "**x** [z](http://h/y)", "T", None)
+
+
+def test_end_record_is_looked_for_once(spark):
+    """The directory is cut out right with and without a comment, also one that looks like a
+    record; and the search, on all of a file's end, stands once in the plan's expression."""
+    import io
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from quire.operators.detect import zip_part
+
+    rows, want = [], []
+    for k, comment in enumerate((b"", b"a comment", b"PK\5\6", b"PK\5\6" + b"x" * 17)):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("word/document.xml", "x" * 50)
+            z.comment = comment
+        rows.append((k, bytearray(out.getvalue())))
+        at, end = out.getvalue().index(b"PK\1\2"), out.getvalue().index(b"PK\5\6")
+        want.append(out.getvalue()[at:end])
+    column = zip_part(F.col("content"))
+    found = spark.createDataFrame(rows, "k int, content binary").select("k", column.alias("d")).orderBy("k").collect()
+    assert [bytes(r.d) for r in found] == want
+    assert str(column).count("regexp_extract") == 1
