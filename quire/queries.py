@@ -632,7 +632,7 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = joined("<h2> ", F.col("o_orderpriority"), "\n</h2><script>no()</script><p>Total\n <strong>", c, "</strong> and <i> ", s, " </i> in <code>x  y</code><br>next <a href='p/", c, "?q#f'>link\t", c, "</a> <img alt=alt src=i.png><img src=''></p><b></b>")
     page = joined(page, "<ul><li>one<li>two<ol><li>", c, "</li><li></li><li>last</ol></ul><blockquote><p>quoted ", s, "</p><div>more</div></blockquote><pre><code>a  b\n ", c, "</code></pre><hr>")
     page = joined(page, "<table><thead><tr><th>key<th>v|al</thead><tr><td>", F.col("o_orderkey").cast("string"), "</table><h3> </h3>")
-    d = web_input(table(spark, sf_dir, "orders"), F.col("o_orderkey"), page, F.lit("http://h.example/d/x.html"))
+    d = web_input(spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), "o_orderkey"), F.col("o_orderkey"), page, F.lit("http://h.example/d/x.html"))
     return converted_as(d, enhance_readability=False).select(F.col("doc_key").cast("long").alias("o_orderkey"), "markdown")
 
 
