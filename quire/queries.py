@@ -328,7 +328,7 @@ def pages_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = [[fx.cell(3, (0).to_bytes(4, "little")), fx.cell(2, fx.decimal_cell(customer * 10 + 5, -1)), None], [fx.cell(5, struct.pack("<d", 86400.0)), None, fx.cell(7, b"")]]
         return fx.iwork({"Index/Document.iwa": body, "Index/Tables/T.iwa": fx.table_objects(50, 51, 52, rows, ["h|"])}, nested=customer % 2 == 1)
 
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey")
     d = o.select(F.col("o_orderkey").cast("string").alias("doc_key"), F.lit("a.pages").alias("filename"), made(document, F.col("o_orderpriority"), F.col("o_custkey")).alias("content"))
     return converted(d).select(F.col("doc_key").cast("long").alias("o_orderkey"), "ordinal", "kind", "markdown")
 

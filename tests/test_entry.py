@@ -79,7 +79,7 @@ def test_entry_hides_no_broken_import(tmp_path):
     assert out.returncode and "no_such_module" in out.stderr
 
 
-@pytest.mark.parametrize("name", ["keynote_features", "docx_features", "html_blocks"])
+@pytest.mark.parametrize("name", ["keynote_features", "docx_features", "html_blocks", "pages_features"])
 def test_documents_made_of_rows_are_dealt_out(spark, name):
     """A table's only file, of a few bytes a row, doesn't leave all documents to one task."""
     from quire.queries import QUERIES
