@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches
+from quire.llm.common import bounded_batches, give_back
 
 #: The pre-tokeniser's pattern (fixed values of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -270,19 +270,11 @@ class Encoder:
         return b"".join(b"".join([piece[i] for i in p[p < top].tolist()]) for p in parts).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def sent(path: str) -> Callable[[], Encoder]:
-    """What gives a worker process its encoder, kept with its words from batch to batch."""
+    """What makes an encoder in a worker. It lives, with its words, for a task only: the worker
+    stays for the tasks of later stages, which need the memory."""
     shared = SparkSession.active().sparkContext.broadcast(file_text(path))  # of the vocabulary's size
-
-    def encoder() -> Encoder:
-        if path not in _encoders:
-            _encoders[path] = Encoder(path, shared.value)
-        return _encoders[path]
-
-    return encoder
+    return lambda: Encoder(path, shared.value)
 
 
 def encode_column(text: Column, path: str) -> Column:
@@ -294,6 +286,8 @@ def encode_column(text: Column, path: str) -> Column:
         coder = encoder()
         for batch in batches:
             yield pa.array(coder.encode(batch.to_pylist()), pa.binary())
+        coder = None
+        give_back()
 
     return ids(text)
 
@@ -307,6 +301,8 @@ def decode_column(ids: Column, path: str) -> Column:
         coder = encoder()
         for batch in batches:
             yield pa.array([None if len(x or b"") % 4 else coder.decode(x or b"") for x in batch.to_pylist()], pa.string())
+        coder = None
+        give_back()
 
     return text(ids)
 
@@ -337,6 +333,8 @@ def bpe_round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids
             found = coder.encode(batch.to_pylist())
             back = pa.array([coder.decode(x) for x in found], pa.string())
             yield pa.StructArray.from_arrays([pa.array(found, pa.binary()), back], names=["ids", "decoded"])
+        coder = found = back = None
+        give_back()
 
     out = df.withColumn("__quire_both", both(F.col(text)))
     out = out.withColumn(ids, F.col("__quire_both.ids")).withColumn(decoded, F.col("__quire_both.decoded")).drop("__quire_both")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 
@@ -46,6 +47,19 @@ def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def give_back() -> None:
+    """Returns the memory that this process has freed to the system. Python workers stay from
+    stage to stage, several to an executor, and the allocators of C and Arrow would keep in each
+    what its largest batch took. Called where a task's last batch is done."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

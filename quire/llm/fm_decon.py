@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import bounded_batches, run_hashes, runs, segment_positions, texts_to_bytes
+from quire.llm.common import bounded_batches, give_back, run_hashes, runs, segment_positions, texts_to_bytes
 
 #: Lower-case bytes, and which of them belong to a word: digits, letters and all of non-ASCII.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -289,6 +289,7 @@ def scanned(df: DataFrame, text: str, vocabulary: np.ndarray, shortest: int, blo
                     names=[*names, *OUTPUT],
                 )
                 k = j
+        give_back()
 
     return df.mapInArrow(scan, schema)
 

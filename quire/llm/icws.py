@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import bounded_batches, mixed, remove, run_hashes, runs, scratch, segment_positions, settled, texts_to_bytes
+from quire.llm.common import bounded_batches, give_back, mixed, remove, run_hashes, runs, scratch, segment_positions, settled, texts_to_bytes
 from quire.llm.components import components
 
 WORDS = 5
@@ -189,6 +189,8 @@ def document_counts(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
             part = has[k : k + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["at", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([documents], pa.int64())], names=["at", "n"])
+        total = has = None
+        give_back()
 
     found = df.select(text).mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = found.column("at").to_numpy(), found.column("n").to_numpy()
@@ -262,9 +264,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     shared = spark.sparkContext.broadcast((Weights(counts, documents), Sampler()))  # COUNTERS numbers
 
     @F.arrow_udf("binary")
-    def bands(column: pa.Array) -> pa.Array:
+    def bands(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, sampler = shared.value
-        return pa.array(sampler.bands(column, weights), pa.binary())
+        for column in batches:
+            yield pa.array(sampler.bands(column, weights), pa.binary())
+        give_back()
 
     t = F.col(text)
     signed = settled(df.select(F.col(key).alias("id"), F.sha2(t.cast("binary"), 256).alias("hash"), F.octet_length(t).cast("long").alias("bytes"), bands(t).alias("bands")))
@@ -283,9 +287,11 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     whole = spark.read.parquet(texts_at)
 
     @F.arrow_udf("boolean")
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+    def near(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         weights, _ = shared.value
-        return pa.array([similarity(x.as_py(), y.as_py(), weights) >= threshold for x, y in zip(a, b)], pa.bool_())
+        for a, b in batches:
+            yield pa.array([similarity(x.as_py(), y.as_py(), weights) >= threshold for x, y in zip(a, b)], pa.bool_())
+        give_back()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) with whether they are near; texts meet their pairs by two joins."""

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import bounded_batches, mixed, run_hashes, runs, texts_to_bytes
+from quire.llm.common import bounded_batches, give_back, mixed, run_hashes, runs, texts_to_bytes
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -197,7 +197,9 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     shared = df.sparkSession.sparkContext.broadcast(model)  # 2**BITS numbers
 
     @F.arrow_udf("double")
-    def probability(column: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(column))
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            yield pa.array(shared.value.scores(column))
+        give_back()
 
     return df.withColumn(out, probability(F.col(text)))
