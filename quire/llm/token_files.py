@@ -36,6 +36,8 @@ BLOCK_BYTES = 1 << 20
 RANGED = 256 << 20
 #: Hexadecimal digits of the index, and others for ends that begin with one of them.
 DIGITS = "0123456789ABCDEF", "ghijklmnopqrstuv"
+#: Characters of a path that stand for themselves in a URI.
+SAFE = "/:@!$&'()*+,;=~"
 KINDS = {2: "<u2", 4: "<u4"}
 _coders: dict[tuple[str, str], object] = {}
 
@@ -145,11 +147,15 @@ def read_blocks(spark: SparkSession, path: str, width: int = 2, block_bytes: int
     ranges = ranges.repartition(F.col("file"), F.floor(F.col("block") * step / RANGED))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from urllib.parse import quote
+
         from pyarrow import fs
 
         for b in batches:
             for file, k, begin, n in zip(*(c.to_pylist() for c in b.columns)):
-                store, name = fs.FileSystem.from_uri(file if "://" in file else "file://" + file.removeprefix("file:"))
+                # Spark's paths are plain text: Arrow takes a URI, in which some characters are escaped
+                scheme, _, path = file.partition(":") if "://" in file else ("file", "", "//" + file.removeprefix("file:"))
+                store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(path, safe=SAFE)}")
                 with store.open_input_file(name) as f:
                     yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([f.read_at(n, begin)], pa.binary())], names=["file", "block", "bytes"])
 
