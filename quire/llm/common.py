@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans.lineage import settled, shared_dir  # noqa: F401
+from quire.plans.lineage import compact, settled, shared_dir  # noqa: F401
 
 
 #: Any odd number serves as base of the polynomial hash modulo 2**64.

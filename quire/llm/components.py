@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import settled
+from quire.llm.common import compact, settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -15,11 +15,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     that label; rounds end when no label changes. Links of a node with many are summed up
     before they meet. Null ends and links of a node to itself are left out."""
     pairs = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = settled(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = settled(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
+    both = compact(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = compact(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")))
     for _ in range(rounds):
         near = both.join(labels.withColumnsRenamed({"node": "v"}), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
-        low = settled(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
+        low = compact(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
         over = low.select(F.col("node").alias("low"), F.col("low").alias("next"))
         new = settled(low.join(over, "low", "left").select("node", F.least("low", F.coalesce("next", F.col("low"))).alias("label"), F.col("label").alias("old")))
         labels = new.select("node", "label")

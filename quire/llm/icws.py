@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quire.llm.common import bounded_batches, give_back, mixed, remove, run_hashes, runs, scratch, segment_positions, settled, texts_to_bytes
+from quire.llm.common import bounded_batches, compact, give_back, mixed, remove, run_hashes, runs, scratch, segment_positions, settled, texts_to_bytes
 from quire.llm.components import components
 
 WORDS = 5
@@ -280,7 +280,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     # so that the rounds below don't shuffle the whole table. Tables of a row a bucket are
     # settled before they are joined, so that a bucket of very many members can be split.
     shared_buckets = members.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "bucket")
-    paired = settled(members.join(settled(shared_buckets), ["band", "bucket"], "left_semi"))
+    paired = settled(members.join(compact(shared_buckets), ["band", "bucket"], "left_semi"))
     texts_at = scratch(spark, "paired-texts")
     whole = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), t.alias("text"))
     whole.join(paired.select(F.col("rep").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi").write.parquet(texts_at)
@@ -307,7 +307,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         two = both.join(one.withColumnsRenamed({"a": "b"}), "b").groupBy(F.col("a").alias("rep")).agg(F.min("one").alias("two"))
         rows = settled(rows.join(two, "rep", "left").withColumn("label", F.least("rep", "two")).drop("two"))
         many = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        return settled(rows.join(settled(many.select("band", "bucket", "n")), ["band", "bucket"]))
+        return settled(rows.join(compact(many.select("band", "bucket", "n")), ["band", "bucket"]))
 
     def with_degree(rows: DataFrame) -> DataFrame:
         degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("degree"))
@@ -320,9 +320,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         hashed = F.xxhash64("rep") if not k else F.xxhash64("rep", "band", F.lit(k))
         order = F.struct(-F.col("degree"), hashed, F.col("rep").alias("r"), F.col("label").alias("l"))
         ends = left.groupBy("band", "bucket").agg(F.min(order).alias("e")).select("band", "bucket", F.col("e.r").alias("centre"), F.col("e.l").alias("_l"))
-        placed = settled(left.join(settled(ends), ["band", "bucket"]).where("rep <> centre"))
+        placed = settled(left.join(compact(ends), ["band", "bucket"]).where("rep <> centre"))
         pairs = placed.where("label <> _l").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        links = settled(links.unionByName(verified(settled(pairs)).where("near").select("a", "b")))
+        links = compact(links.unionByName(verified(compact(pairs)).where("near").select("a", "b")))
         left = unsettled(placed.select("rep", "band", "bucket"))
         last = k + 1 == ROUNDS or left.where(F.col("n") > LARGE).isEmpty()
         rest.append(left if last else left.where(F.col("n") <= LARGE))
@@ -335,7 +335,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
     if not open_.isEmpty():
         open_ = settled(with_degree(open_.join(texts.select("rep", "bytes", "bands"), "rep")))
         blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-        sized = settled(open_.groupBy("band", "bucket").agg(blocks.alias("blocks")))
+        sized = compact(open_.groupBy("band", "bucket").agg(blocks.alias("blocks")))
         own = open_.join(sized, ["band", "bucket"]).withColumn("side", F.pmod(F.xxhash64("rep", "band"), F.col("blocks")).cast("int"))
         dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
         dealt = dealt.hint("shuffle_hash").join(whole.withColumnRenamed("id", "rep"), "rep").select("band", "bucket", "i", "j", "side", "rep", "label", "degree", "bands", "text")
@@ -359,7 +359,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
         links = settled(links.unionByName(found))
     remove(spark, texts_at)
     group = components(links).withColumnsRenamed({"node": "rep", "component": "group_id"})
-    named = settled(texts.select("hash", "rep").join(group, "rep", "left").select("hash", F.col("rep").alias("copy_of"), F.coalesce("group_id", "rep").alias("group_id")))
+    named = compact(texts.select("hash", "rep").join(group, "rep", "left").select("hash", F.col("rep").alias("copy_of"), F.coalesce("group_id", "rep").alias("group_id")))
     out = signed.select("id", "hash", F.col("bands").isNotNull().alias("worded")).join(named, "hash", "left")
     own = F.when(F.col("worded") & F.col("id").isNotNull(), F.col("group_id")).otherwise(F.col("id"))
     copy = F.when(F.col("worded") & F.col("id").isNotNull(), F.col("copy_of")).otherwise(F.col("id"))
@@ -377,7 +377,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", thre
 
 def repeats(rows: DataFrame) -> DataFrame | None:
     """The ids that stand in several rows (id, _again), or None if there's none."""
-    found = settled(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("_again")))
+    found = compact(rows.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("_again")))
     return None if found.isEmpty() else found
 
 
@@ -385,7 +385,7 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id", threshol
     """df with one row of each group of near duplicates, that of the least id; rows without an
     id stay. Of rows that repeat an id, one stays."""
     drop = near_duplicates(df, text, key, threshold).where("not kept").select(F.col(key).alias("__quire_drop"), (F.col(key) == F.col("group_id")).alias("__quire_same"))
-    drop = settled(drop.distinct())
+    drop = compact(drop.distinct())
     out = df.join(drop.where("not __quire_same").select("__quire_drop"), df[key] == F.col("__quire_drop"), "left_anti")
     again = drop.where("__quire_same").select("__quire_drop")
     if again.isEmpty():

@@ -23,7 +23,19 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().get()
 
 
+#: Files of a table by compact(), for each core of the cluster.
+FILES = 4
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, with its lineage cut."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def compact(df: DataFrame) -> DataFrame:
+    """settled(), in at most FILES files for each core. A small table otherwise has as many as the
+    shuffle before it has partitions, and in a local folder Hadoop starts a process or two to
+    set each file's mode. For tables of a row a key: the parts of a split partition would be
+    joined again."""
+    return settled(df.coalesce(FILES * df.sparkSession.sparkContext.defaultParallelism))

@@ -286,6 +286,28 @@ def test_near_duplicates_of_hub_and_spokes(spark, texts):
     assert {i: g for i, g in got.items() if i in texts} == near_groups(texts, weights)
 
 
+def test_small_tables_are_kept_in_few_files(spark):
+    """However many partitions shuffles have, as each file may cost a process that sets its mode."""
+    from pathlib import Path
+
+    from quire.llm.common import shared_dir
+    from quire.llm.components import components
+
+    held = Path(shared_dir(spark).removeprefix("file:"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    seen = set(held.rglob("part-*"))
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "100")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        rows = components(spark.createDataFrame([(k, k + 1) for k in range(5)], "a long, b long")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted((r.node, r.component) for r in rows) == [(k, 0) for k in range(6)]
+    made, steps = len(set(held.rglob("part-*")) - seen), {p.parent for p in set(held.rglob("part-*")) - seen}
+    assert made < 60 * len(steps), (made, len(steps))
+
+
 def test_components_of_long_chain(spark):
     from quire.llm.components import components
 
