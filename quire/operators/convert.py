@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -68,6 +69,30 @@ def safe(value: object) -> object:
     return {k: safe(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
+def column(values: list, kind: pa.DataType) -> pa.Array:
+    """Values as Arrow holds them; text with lone surrogates, which it refuses, is made safe."""
+    try:
+        return pa.array(values, kind)
+    except UnicodeEncodeError:
+        return pa.array([safe(v) for v in values], kind)
+
+
+def sections_column(lists: list[list[dict]], kind: pa.DataType) -> pa.Array:
+    """Lists of section_row's rows, put together by columns."""
+    flat = [s for own in lists for s in own]
+    parts = []
+    for f in kind.value_type:
+        values = [s[f.name] for s in flat]
+        if pa.types.is_map(f.type):
+            pairs = [p for own in values for p in own]
+            places = pa.array(itertools.accumulate(map(len, values), initial=0), pa.int32())
+            parts.append(pa.MapArray.from_arrays(places, column([k for k, _ in pairs], f.type.key_type), column([v for _, v in pairs], f.type.item_type)))
+        else:
+            parts.append(column(values, f.type))
+    places = pa.array(itertools.accumulate(map(len, lists), initial=0), pa.int32())
+    return pa.ListArray.from_arrays(places, pa.StructArray.from_arrays(parts, fields=list(kind.value_type)), type=kind)
+
+
 def bounded_batches(spark: SparkSession, size: int = BATCH) -> None:
     """Keeps Arrow batches to about ``size`` bytes, unless the session has a bound of its own: a
     number of rows bounds no worker's memory where documents are of any size."""
@@ -95,19 +120,19 @@ def convert(df: DataFrame, registry: Registry | None = None, enhance_readability
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, k, size = [], 0, 0
-            hints = b.select(["doc_key", "filename", "file_extension", "mime_type", "url", "charset", "detected_format", "_big"]).to_pylist()
-            for j in range(len(b)):
-                h = hints[j]
-                info = Info(h["filename"], h["file_extension"], h["mime_type"], h["url"], h["charset"], h["detected_format"], enhance_readability, enable_ocr, str(h["doc_key"]))
-                data = b.column("content")[j].as_py()
-                if h["_big"]:
+            hints = zip(*(b.column(c).to_pylist() for c in ("doc_key", "filename", "file_extension", "mime_type", "url", "charset", "detected_format", "_big")))
+            content = b.column("content")
+            for j, (key, filename, extension, mime, url, charset, detected, too_big) in enumerate(hints):
+                info = Info(filename, extension, mime, url, charset, detected, enhance_readability, enable_ocr, str(key))
+                data = content[j].as_py()
+                if too_big:
                     row = dict.fromkeys(CONVERTED.names) | {"sections": [], "status": FAILED, "error_code": TOO_LARGE}
                 else:
                     row = convert_one(data or b"", info, registry, sanitize_unicode)
-                rows.append(safe(row))
+                rows.append(row)
                 size += len(data or b"")
                 if size > BATCH or j + 1 == len(b):
-                    new = [pa.array([r[c] for r in rows], t) for c, t in zip(CONVERTED.names, types)]
+                    new = [(sections_column if c == "sections" else column)([r[c] for r in rows], t) for c, t in zip(CONVERTED.names, types)]
                     yield pa.RecordBatch.from_arrays([*b.slice(k, len(rows)).select(names).columns, *new], names=[*names, *CONVERTED.names])
                     k, rows, size = j + 1, [], 0
 

@@ -365,17 +365,23 @@ def docx_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(text: str, props: str = "") -> str:
         return f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{fixtures.xml_text(text)}</w:t></w:r>'
 
+    p = fixtures.docx_paragraph
+    # what all documents share is put together once
+    sub, marks = p("Sub", "Heading9"), run(" and ") + run("both", "<w:b/><w:i/>") + run("off", '<w:b w:val="0"/>')
+    merged, link = f'<w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p("a|")}{p("b")}</w:tc>', run("li[n]k")
+    see = f'<w:p>{run("see")}<w:r><w:footnoteReference w:id="2"/></w:r><w:r><w:drawing><wp:docPr descr="A dot"/><a:blip r:embed="i"/></w:drawing></w:r>{run(" end")}<w:r><w:endnoteReference w:id="5"/></w:r></w:p>'
+    note = f'<w:footnotes {fixtures.W}><w:footnote w:id="0" w:type="separator"><w:p>{run("x")}</w:p></w:footnote><w:footnote w:id="2"><w:p>{run("note")}<w:r><w:br/></w:r>'
+    ends = f'<w:endnotes {fixtures.W}><w:endnote w:id="5"><w:p>{run("last")}</w:p></w:endnote></w:endnotes>'
+
     def document(key: int, customer: int, status: str, priority: str) -> bytes:
-        p = fixtures.docx_paragraph
-        body = p(priority, "Title") + p("Sub", "Heading9") + f"<w:p>{run(str(customer), '<w:b/>')}{run(' and ')}{run('both', '<w:b/><w:i/>')}{run('off', '<w:b w:val=' + chr(34) + '0' + chr(34) + '/>')}</w:p>"
+        bold = run(str(customer), "<w:b/>")
+        body = f"{p(priority, 'Title')}{sub}<w:p>{bold}{marks}</w:p>"
         body += f"<w:p><w:pPr><w:numPr/></w:pPr><w:r><w:t>item</w:t><w:br/><w:t>{status}</w:t></w:r></w:p>"
-        body += f'<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="2"/></w:tcPr>{p("a|")}{p("b")}</w:tc></w:tr><w:tr><w:tc>{p("1")}</w:tc><w:tc>{p(str(key))}</w:tc></w:tr></w:tbl>'
-        body += f'<w:p><w:hyperlink r:id="h">{run("li[n]k")}</w:hyperlink></w:p>'
+        body += f'<w:tbl><w:tr>{merged}</w:tr><w:tr><w:tc>{p("1")}</w:tc><w:tc>{p(str(key))}</w:tc></w:tr></w:tbl>'
+        body += f'<w:p><w:hyperlink r:id="h">{link}</w:hyperlink></w:p>'
         box = f"<w:r><w:drawing><w:txbxContent>{p(f'boxed {customer}')}</w:txbxContent></w:drawing></w:r>"
-        body += f"<w:p><mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback></mc:AlternateContent></w:p>"
-        body += f'<w:p>{run("see")}<w:r><w:footnoteReference w:id="2"/></w:r><w:r><w:drawing><wp:docPr descr="A dot"/><a:blip r:embed="i"/></w:drawing></w:r>{run(" end")}<w:r><w:endnoteReference w:id="5"/></w:r></w:p>'
-        notes = f'<w:footnotes {fixtures.W}><w:footnote w:id="0" w:type="separator"><w:p>{run("x")}</w:p></w:footnote><w:footnote w:id="2"><w:p>{run("note")}<w:r><w:br/></w:r>{run(str(customer))}</w:p></w:footnote></w:footnotes>'
-        ends = f'<w:endnotes {fixtures.W}><w:endnote w:id="5"><w:p>{run("last")}</w:p></w:endnote></w:endnotes>'
+        body += f"<w:p><mc:AlternateContent><mc:Choice>{box}</mc:Choice><mc:Fallback>{box}</mc:Fallback></mc:AlternateContent></w:p>{see}"
+        notes = f"{note}{run(str(customer))}</w:p></w:footnote></w:footnotes>"
         rels = [("h", "x/hyperlink", f"http://h/({customer})"), ("i", "x/image", "media/image1.png")]
         return fixtures.docx(body, rels, {"word/footnotes.xml": notes, "word/endnotes.xml": ends, "word/media/image1.png": f"PNG{key}".encode()})
 

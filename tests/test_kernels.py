@@ -414,3 +414,47 @@ def test_cut_references_and_pages_without_paragraphs():
     assert [readable(f"<title>a{cut}</title><p>x").title for cut in ("&amp", "&quot")] == ["a&", 'a"']
     long = "More than enough characters of a footer. " * 5
     assert readable(f"<nav>menu</nav><article><h1>Short</h1><p>Short<br></article><footer>{long}</footer>").text_content.startswith("menu")
+
+
+def test_a_sound_docx_needs_no_python_nodes(monkeypatch):
+    """Its archive is read without zipfile's objects, and its parts without nodes of Python."""
+    from quire.kernels import package
+
+    xml = fx.docx_paragraph("a", "Title") + "<W:P><W:R><w:T>b</w:T></W:R></W:P>"
+    monkeypatch.setattr(package, "XmlNode", None)
+    monkeypatch.setattr(package.zipfile, "ZipFile", None)
+    assert body(docx.convert_docx(fx.docx(xml), INFO)) == "# a\n\nb"
+
+
+def test_native_elements_are_as_parse_xml_reads_them():
+    from quire.kernels.package import XmlNode, parse_elements, parse_xml
+
+    def of_node(e):
+        return (e.low, e.attrs, [c if isinstance(c, str) else of_node(c) for c in e.children])
+
+    def of_element(e):
+        inner = [x for c in e for x in (of_element(c), c.tail or "")]
+        return (e.tag.lower(), e.attrib, [x for x in (e.text or "", *inner) if x])
+
+    cases = [b"<a>x<B c='1'>y</B>z<b/></a>", b"<a><b>x</a>", b"&no;<a>&no;<![CDATA[<q>]]></a><c/>", b"", b"<a><!-- c -->t<?p i?>u</a>", b'<!DOCTYPE a [<!ENTITY e "v">]><a>&e;</a>', "<a>\u00e9</a>".encode("utf-16")]
+    for data in cases:
+        tree, native = parse_xml(data), parse_elements(data, {"b": "b"})
+        top = [c for c in tree.children if isinstance(c, XmlNode)]
+        assert of_element(native) == (of_node(top[0]) if native.tag else of_node(tree)), data
+    assert [e.tag for e in parse_elements(b"<A><B/><b/></A>", {"b": "b"}).iter()] == ["A", "b", "b"]
+
+
+def test_plain_directories_are_as_zipfile_reads_them():
+    import io
+    import zipfile
+
+    from quire.kernels.package import Package, plain_directory
+
+    data = fx.docx(fx.docx_paragraph("a"), [], {"word/x.png": b"P"})
+    fields = ("filename", "flag_bits", "compress_type", "CRC", "compress_size", "file_size", "header_offset")
+    assert [tuple(m) for m in plain_directory(data)] == [tuple(getattr(i, f) for f in fields) for i in zipfile.ZipFile(io.BytesIO(data)).infolist()]
+    late = data[:-22].replace(b"PK\1\2\x14\3\x14", b"PK\1\2\x14\3\xff") + data[-22:]
+    for odd in (b"", b"PK", data[:-1], b"x" + data, data[:-2] + b"\1\0c", data.replace(b"PK\1\2", b"PK\1\3"), late, fx.zipped({"\u00e9": "1"})):
+        assert plain_directory(odd) is None
+    assert Package(b"x" + data).read("word/x.png") == b"P"
+    assert Package(fx.zipped({"\u00e9": "1"})).read("\u00e9") == b"1"

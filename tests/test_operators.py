@@ -285,3 +285,22 @@ def test_end_record_is_looked_for_once(spark):
     found = spark.createDataFrame(rows, "k int, content binary").select("k", column.alias("d")).orderBy("k").collect()
     assert [bytes(r.d) for r in found] == want
     assert str(column).count("regexp_extract") == 1
+
+
+def test_sections_are_put_together_by_columns():
+    """As Arrow makes them of rows, and with lone surrogates replaced."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from quire.kernels.model import Section
+    from quire.operators.convert import column, section_row, sections_column
+    from quire.plans.schema import CONVERTED
+
+    kind = to_arrow_type(CONVERTED["sections"].dataType)
+    lists = [[], [section_row("k", 0, Section("body", "text", page_start=3)), section_row("k", 1, Section("image", "i", "t", metadata={"a": "1", "b": "2"}))], [section_row("l", 0, Section("body", "x"))], []]
+    got = sections_column(lists, kind)
+    got.validate(full=True)
+    assert got.type == kind and got.to_pylist() == pa.array(lists, kind).to_pylist()
+    assert sections_column([], kind).to_pylist() == []
+    assert column(["a\ud800b", None], pa.string()).to_pylist() == ["a?b", None]
+    assert sections_column([[section_row("k", 0, Section("body", "\ud800"))]], kind).to_pylist()[0][0]["markdown"] == "?"
